@@ -73,7 +73,7 @@ def compare(spark, con, name, fn, sql, sf_dir):
 def main(argv):
     sys.path.insert(0, os.getcwd())
     from ..session import get_session
-    from .catalog import QUERIES, SQL
+    from .registry import QUERIES, SQL
     sf_dir = argv[0] if argv and argv[0].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in argv if not a.startswith("/")] or list(QUERIES)
     spark = get_session(master="local[8]", shuffle_partitions=8)
