@@ -25,6 +25,8 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
     b = SparkSession.builder.master(master).appName(app_name)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    # local mode runs the executors inside the driver JVM: give it the memory
+    conf["spark.driver.memory"] = os.environ.get("PARLEY_DRIVER_MEMORY", "16g")
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
