@@ -105,9 +105,14 @@ def config_key(*parts: str) -> str:
 def read_through(spark: SparkSession, root: str, key: str, build) -> DataFrame:
     """Materialize ``build()`` under ``root/key`` once and reuse it while the key (a
     hash of rules and input version) is unchanged. A ``_SUCCESS`` marker makes a
-    half-written directory count as absent."""
-    path = os.path.join(root, key)
-    if os.path.exists(os.path.join(path, "_SUCCESS")):
+    half-written directory count as absent. The check goes through Spark's file
+    system layer, so ``root`` may be any shared store the cluster can read."""
+    from pyspark.errors import AnalysisException
+    path = root.rstrip("/") + "/" + key
+    try:
+        spark.read.text(path + "/_SUCCESS").collect()
         return spark.read.parquet(path)
+    except AnalysisException:
+        pass
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
