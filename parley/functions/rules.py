@@ -113,13 +113,16 @@ def foreign_hits(c) -> Column:
 
 def is_non_english(customer, brand=None) -> Column:
     """Positive evidence: the brand's language redirect, two foreign function words, one
-    with no English stop word, or an accented letter with no English stop word."""
+    with no English stop word, or an accented letter with no English stop word.
+
+    The foreign-word count is evaluated once: the outcome for 0, 1 and 2+ hits is
+    picked from an array indexed by ``least(hits, 2)``."""
     customer = _c(customer)
     hits = foreign_hits(customer)
     no_stop = ~matches(customer, P.ENGLISH_STOP)
     redirect = matches(brand, P.LANG_REDIRECT) if brand is not None else F.lit(False)
-    return (redirect | (hits >= 2) | ((hits >= 1) & no_stop)
-            | (matches(customer, P.ACCENTED) & no_stop))
+    by_hits = F.array(matches(customer, P.ACCENTED) & no_stop, no_stop, F.lit(True))
+    return redirect | F.element_at(by_hits, F.least(hits, F.lit(2)) + 1)
 
 
 # R3 ---------------------------------------------------------------------------

@@ -39,9 +39,10 @@ def cosine(a, b) -> Column:
 
 
 # V3 ---------------------------------------------------------------------------
-def _local_topk(q_ids: np.ndarray, q_mat: np.ndarray, q_keys: np.ndarray | None, k: int,
-                id_col: str, vec_col: str, key_col: str | None, exclude_self: bool):
+def _local_topk(block, k: int, id_col: str, vec_col: str, key_col: str | None, exclude_self: bool):
+    """``block`` is a broadcast variable holding (ids, unit-normalized matrix, keys)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q_ids, q_mat, q_keys = block.value
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -94,7 +95,8 @@ def topk_dense(queries: DataFrame, pool: DataFrame, k: int, id_col: str = "id",
         mat = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
         mat /= np.linalg.norm(mat, axis=1, keepdims=True)
         keys = pdf[key_col].to_numpy() if key_col else None
-        fn = _local_topk(ids, mat, keys, k, id_col, vec_col, key_col, exclude_self)
+        block = spark.sparkContext.broadcast((ids, mat, keys))   # once per executor, not per task
+        fn = _local_topk(block, k, id_col, vec_col, key_col, exclude_self)
         parts.append(p.mapInPandas(fn, schema))
     cand = parts[0]
     for extra in parts[1:]:

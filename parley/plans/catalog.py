@@ -464,10 +464,11 @@ def w6_assemble_strata(spark, d):
 
 @register("w7_balanced_overdraw", f"""
 select doc_id, source from (select doc_id, source, row_number() over (partition by source order by {ORD(0, 'doc_id')}, doc_id) rn
- from documents) where rn <= 3 order by {ORD(0, 'doc_id')}, doc_id limit 60""")
+ from documents) where rn <= greatest(1, 60 // (select count(distinct source) from documents)) order by {ORD(0, 'doc_id')}, doc_id limit 60""")
 def w7_balanced_overdraw(spark, d):
     docs = tb(spark, d, "documents").select("doc_id", "source")
-    return W.balanced_overdraw(docs, "source", "doc_id", 60, n_kinds=20, seed=0)
+    n_kinds = docs.select("source").distinct().count()   # one scalar: the quota per kind
+    return W.balanced_overdraw(docs, "source", "doc_id", 60, n_kinds=n_kinds, seed=0)
 
 
 @register("w8_proportional", f"""

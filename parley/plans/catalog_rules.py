@@ -181,8 +181,8 @@ def r7_blind_spot(spark, d):
 @register("r8_overrides", f"""
 select doc_id, array_to_string({sql_overrides('text', sql_label_intent('text'))}, ',') as overrides from documents""")
 def r8_overrides(spark, d):
-    docs = tb(spark, d, "documents")
-    return docs.select("doc_id", F.array_join(R.check_overrides("text", R.label_intent("text")), ",").alias("overrides"))
+    docs = tb(spark, d, "documents").select("doc_id", "text", R.label_intent("text").alias("intent"))
+    return docs.select("doc_id", F.array_join(R.check_overrides("text", F.col("intent")), ",").alias("overrides"))
 
 
 DOC_RULES = R.RuleTable(name="doc_content", rules=[
@@ -418,3 +418,21 @@ def e12_rule_counters(spark, d):
     j = tb(spark, d, "documents").join(model_labels(spark, d), "doc_id")
     j = j.withColumn("final", R.resolve("text", "model_label"))
     return E.rule_counters(j, "text", "model_label", "final")
+
+
+@register("t4_weakest_class", f"""
+with p as {SQL_PRED},
+g as (select truth, count(*) as n, count(*) filter (where pred = truth) / count(*) as acc from p group by 1)
+select c.cls, g.n::bigint as n, round(g.acc, 6) as accuracy from {SQL_DOMAIN} c join g on c.cls = g.truth
+where g.n > 0 order by g.acc, c.ord limit 1""")
+def t4_weakest_class(spark, d):
+    tbl = E.per_class(lang_predictions(spark, d), lang_domain(spark))
+    return tbl.filter(F.col("n") > 0).orderBy("accuracy", "ord").limit(1).select("cls", "n", "accuracy")
+
+
+@register("a10_override_counts", f"""
+select item, count(*)::bigint as n from (select unnest({sql_overrides('text', sql_label_intent('text'))}) as item from documents) group by item""")
+def a10_override_counts(spark, d):
+    from ..operators import aggregates as A
+    docs = tb(spark, d, "documents").select("text", R.label_intent("text").alias("intent"))
+    return A.explode_count(docs, R.check_overrides("text", F.col("intent")), "item")
