@@ -19,6 +19,13 @@ from pyspark.sql import functions as F
 
 DEFAULT_BLOCK_BYTES = 256 * 1024 * 1024
 
+# Functions shipped to Python workers (mapInPandas bodies, UDFs) are pickled by value,
+# so executors need numpy/pandas but not this package on their path.
+import sys as _sys
+from pyspark import cloudpickle as _cloudpickle
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x

@@ -77,3 +77,14 @@ def test_stream_equals_batch_and_restart_is_idempotent(spark, scratch):
     again = ST.stream_labels(spark, sf, root)
     assert again.count() == batch.count()
     assert again.groupBy("conv_id", "turn").count().filter("count > 1").count() == 0
+
+
+def test_vectorized_sparse_topk_equals_join_form(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    lab = spark.read.parquet(f"{SF001}/labels.parquet").select("doc_id")
+    pw, qw = SP.tfidf(docs.join(lab, "doc_id", "left_anti"), docs.join(lab, "doc_id", "left_semi"),
+                      "doc_id", "text")
+    cols = ["q_id", "n_id", "rank", F.round("cos", 6).alias("c")]
+    a = {tuple(r) for r in SP.topk_sparse(qw, pw, 3).select(*cols).collect()}
+    b = {tuple(r) for r in SP.topk_sparse_vectorized(qw, pw, 3, block_bytes=50_000).select(*cols).collect()}
+    assert a == b and len(a) > 0
