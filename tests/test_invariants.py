@@ -152,3 +152,20 @@ def test_unknown_route_fails_the_job(spark):
         .withColumn("gated_score", F.lit(None).cast("double"))
     with pytest.raises(Exception):
         RO.decide(df, "intent").collect()
+
+
+def test_prevalence_correction_external_precision_and_override(spark):
+    # 10 rows predicted: a x4, b x2, c x2 (external precision), d x2 (no information)
+    preds = spark.createDataFrame(
+        [(i, p, None) for i, p in enumerate(["a"] * 4 + ["b"] * 2 + ["c"] * 2 + ["d"] * 2)],
+        "id int, pred string, truth string")
+    checked = spark.createDataFrame([(0, "a", "a"), (1, "a", "b"), (4, "b", "b"), (5, "b", "b")],
+                                    "id int, pred string, truth string")
+    prev = {r.cls: r.prevalence for r in E.corrected_prevalence(
+        preds, checked, external_precision={"c": 0.5}, residual="b", direct={"z": 0.1}).collect()}
+    # raw mass: a = .4*.5 = .2; b = .4*.5 + .2*1 + .2*.5 = .5; c = .2*.5 = .1; z = .1 (direct);
+    # d has neither confusion nor external precision and is dropped; total .9
+    assert set(prev) == {"a", "b", "c", "z"}
+    assert abs(prev["a"] - 0.2 / 0.9) < 1e-9 and abs(prev["b"] - 0.5 / 0.9) < 1e-9
+    assert abs(prev["c"] - 0.1 / 0.9) < 1e-9 and abs(prev["z"] - 0.1 / 0.9) < 1e-9
+    assert abs(sum(prev.values()) - 1) < 1e-9
