@@ -311,6 +311,7 @@ NO_USABLE_REASON = ("no_usable_grounding: zero of top-5 retrieval candidates "
 # Retrieval and sampling parameters -------------------------------------------------------
 TAU = 0.20
 TOP_K = 5
+SAMPLE_PER_INTENT = 10
 MAX_REPS = 3
 NEAR_DUP = 0.95
 RANDOM_PAIRS = 20000

@@ -221,11 +221,6 @@ def v3_sparse_topk(spark, d):
 # ---------------------------------------------------------------------------
 # Decisions over conversations (flagship); rows-only (no SQL twin)
 # ---------------------------------------------------------------------------
-@register("g9_decision_summary")
-def g9_decision_summary(spark, d):
-    return jobs.decision_summary(spark, d)
-
-
 @register("a16_decision_violations")
 def a16_decision_violations(spark, d):
     return jobs.decision_violations(spark, d)
