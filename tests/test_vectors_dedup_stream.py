@@ -85,6 +85,6 @@ def test_vectorized_sparse_topk_equals_join_form(spark):
     pw, qw = SP.tfidf(docs.join(lab, "doc_id", "left_anti"), docs.join(lab, "doc_id", "left_semi"),
                       "doc_id", "text")
     cols = ["q_id", "n_id", "rank", F.round("cos", 6).alias("c")]
-    a = {tuple(r) for r in SP.topk_sparse(qw, pw, 3).select(*cols).collect()}
+    a = {tuple(r) for r in SP.topk_sparse_join(qw, pw, 3).select(*cols).collect()}
     b = {tuple(r) for r in SP.topk_sparse_vectorized(qw, pw, 3, block_bytes=50_000).select(*cols).collect()}
     assert a == b and len(a) > 0
