@@ -130,7 +130,8 @@ FIRST_PASS = RuleTable(name="first_pass_intent", rules=[
     Rule("ios_version_downgrade", include=[P.DOWNGRADE]),
     Rule("battery_drain", include=[P.BATTERY]),
     Rule("billing_account", include=[P.BILLING], pre_mask=P.APPLE_PAY),
-    Rule("software_feature_defect", include=[P.COMPONENT, P.SYMPTOM]),
+    # both must match; the cheaper scan goes first (a conjunction is order-free)
+    Rule("software_feature_defect", include=[P.SYMPTOM, P.COMPONENT]),
 ], default=P.RESIDUAL)
 
 

@@ -230,7 +230,15 @@ def v9_text_classifier(spark, d):
     return text_classifier_report(spark, tb(spark, d, "documents"), tb(spark, d, "labels"))
 
 
-@register("e13_rollup")
+def _e13_sql():
+    from .catalog import SQL
+    return f"""select 'per_class' as part, cls as key, accuracy as value from ({SQL['e1_per_class_accuracy']}) a
+union all select 'blended', 'naive', naive from ({SQL['e2_e3_blended']}) b
+union all select 'blended', 'reweighted', reweighted from ({SQL['e2_e3_blended']}) b
+union all select 'conformance', 'agreement', agreement from ({SQL['e9_conformance']}) c"""
+
+
+@register("e13_rollup", _e13_sql())
 def e13_rollup(spark, d):
     from .catalog_rules import lang_domain, lang_predictions
     p = lang_predictions(spark, d)
