@@ -67,3 +67,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def suggest_shuffle_partitions(input_bytes: int, target_bytes: int = 128 * 1024 * 1024,
+                               cores: int = 8, expansion: float = 1.0) -> int:
+    """Shuffle partitions so each reduce partition holds about ``target_bytes``
+    (``expansion`` scales input to shuffled bytes, e.g. 2.0 after an explode). Never
+    fewer than the cores, rounded up to a multiple of them; AQE coalesces downward at
+    run time, so erring high is cheap while erring low spills."""
+    n = max(cores, -(-int(input_bytes * expansion) // target_bytes))
+    return -(-n // cores) * cores
+
+
+def size_for(spark: SparkSession, paths: list[str], expansion: float = 1.0) -> int:
+    """Set ``spark.sql.shuffle.partitions`` from the input size unless the cluster set it
+    explicitly; returns the value in effect."""
+    current = spark.conf.get("spark.sql.shuffle.partitions", None)
+    explicit = spark.sparkContext.getConf().contains("spark.sql.shuffle.partitions")
+    if explicit and current:
+        return int(current)
+    jvm = spark._jvm
+    total = 0
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        total += fs.getContentSummary(path).getLength()
+    cores = spark.sparkContext.defaultParallelism
+    n = suggest_shuffle_partitions(total, cores=cores, expansion=expansion)
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    return n

@@ -169,3 +169,10 @@ def test_prevalence_correction_external_precision_and_override(spark):
     assert abs(prev["a"] - 0.2 / 0.9) < 1e-9 and abs(prev["b"] - 0.5 / 0.9) < 1e-9
     assert abs(prev["c"] - 0.1 / 0.9) < 1e-9 and abs(prev["z"] - 0.1 / 0.9) < 1e-9
     assert abs(sum(prev.values()) - 1) < 1e-9
+
+
+def test_shuffle_partition_sizing():
+    from parley.session import suggest_shuffle_partitions
+    assert suggest_shuffle_partitions(10 * 1024 ** 2, cores=8) == 8                 # small input: one per core
+    assert suggest_shuffle_partitions(100 * 1024 ** 4, cores=8000) == 824000        # 100 TB at 128 MB, rounded to cores
+    assert suggest_shuffle_partitions(1024 ** 3, cores=8, expansion=2.0) == 16
