@@ -58,9 +58,11 @@ def drop_stored(df: DataFrame) -> None:
 
 
 def chunk_count(docs: DataFrame, chunk_bytes: int) -> int:
-    """Number of chunks so that one holds about ``chunk_bytes`` of text."""
+    """Number of chunks: one holds ``chunk_bytes`` of text at most on average, and less, to
+    1 MB, where that keeps all shuffle partitions at work."""
     total = docs.agg(F.sum(F.octet_length("text") + 16).alias("b")).first()["b"] or 0
-    return max(1, -(-int(total) // chunk_bytes))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-int(total) // chunk_bytes), min(parts, int(total) >> 20))
 
 
 def with_chunk(docs: DataFrame, chunks: int) -> DataFrame:
@@ -103,20 +105,28 @@ TO_LOWER = np.arange(256, dtype=np.uint8)
 TO_LOWER[65:91] += 32
 
 
-def split_spans(in_word: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of True that do not cross a row's end: (start, end, row offsets of the
-    runs). ``off`` are the rows' byte offsets, beginning at 0."""
-    n = len(in_word)
-    edge = np.zeros(n + 1, bool)
-    edge[off] = True
+def split_spans(kind: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of one nonzero kind that do not cross a row's end: (start, end, row
+    offsets of the runs). ``off`` are the rows' byte offsets, beginning at 0."""
+    n = len(kind)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    first = in_word.copy()
-    first[1:] &= ~in_word[:-1] | edge[1:n]
-    last = in_word.copy()
-    last[:-1] &= ~in_word[1:] | edge[1:n]
-    start = np.flatnonzero(first)
-    return start, np.flatnonzero(last) + 1, np.searchsorted(start, off)
+    edge = np.zeros(n + 1, bool)
+    edge[off] = True
+    edge[0] = edge[n] = True
+    edge[1:n] |= kind[1:] != kind[:-1]
+    inside = kind.astype(bool)
+    start = np.flatnonzero(inside & edge[:-1])
+    return start, np.flatnonzero(inside & edge[1:]) + 1, np.searchsorted(start, off)
+
+
+def batches_of_rows(off: np.ndarray, size: int):
+    """(first row, last row + 1) of groups of rows of about ``size`` bytes."""
+    d = 0
+    while d < len(off) - 1:
+        e = max(d + 1, int(np.searchsorted(off, off[d] + size, side="right")) - 1)
+        yield d, e
+        d = e
 
 
 def word_names(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import GOLD, IS_SPACE, U, mix64, split_spans, word_names
+from .common import GOLD, IS_SPACE, U, batches_of_rows, mix64, split_spans, word_names
 from .prefix_doubling import _spans_of, _text_and_spans
 from .repeats import NONE, repeated_windows
 
@@ -39,16 +39,13 @@ FAR = 1 << 40
 def words(data, off):
     """(word names, offsets of the rows in words), a few MB of text at a time."""
     names, ends = [], [np.zeros(1, np.int64)]
-    d, total = 0, 0
-    while d < len(off) - 1:
-        e = max(d + 1, int(np.searchsorted(off, off[d] + (1 << 20), side="right")) - 1)
-        lo = off[d:e + 1] - off[d]
+    total = 0
+    for d, e in batches_of_rows(off, 1 << 20):
         part = data[off[d]:off[e]]
-        start, end, at = split_spans(~IS_SPACE[part], lo)
+        start, end, at = split_spans(~IS_SPACE[part], off[d:e + 1] - off[d])
         names.append(word_names(part, start, end))
         ends.append(at[1:] + total)
         total += len(start)
-        d = e
     return (np.concatenate(names) if names else np.zeros(0, U)), np.concatenate(ends)
 
 
