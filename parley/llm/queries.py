@@ -8,7 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, chat, ecoc, importance, maxscore, prefix_doubling, recompression
+from . import (bpe_prefix, chat, circulant, ecoc, importance, line_chunks, maxscore, prefix_doubling,
+               recompression, templates)
 
 TOKENIZERS = os.environ.get("PARLEY_TOKENIZERS", "/opt/tokenizers")
 
@@ -26,6 +27,11 @@ def op2_exact_topk(spark, sf_dir):
     return maxscore.top_k(v.filter(F.col("vec_id") % 20 == 0), v)
 
 
+def op3_line_dedup(spark, sf_dir):
+    out = line_chunks.line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_suffix_array_dedup(spark, sf_dir):
     return prefix_doubling.repeated_spans(table(spark, sf_dir, "documents"), digest=True)
 
@@ -34,6 +40,10 @@ def op5_quality_classifier(spark, sf_dir):
     return importance.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_minhash_near_dedup(spark, sf_dir):
+    return circulant.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_formatting(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("<|im_end|><|im_start|>assistant ok")
@@ -46,13 +56,17 @@ def op8_language_id(spark, sf_dir):
     return ecoc.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_decontamination(spark, sf_dir):
+    return templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_bpe_codec(spark, sf_dir):
     return bpe_prefix.encode_decode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", digest=True)
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op2_exact_topk, op4_suffix_array_dedup, op5_quality_classifier,
-    op7_chat_formatting, op8_language_id, op10_bpe_codec,
+    op1_substring_dedup, op2_exact_topk, op3_line_dedup, op4_suffix_array_dedup, op5_quality_classifier,
+    op6_minhash_near_dedup, op7_chat_formatting, op8_language_id, op9_benchmark_decontamination, op10_bpe_codec,
 )}
 
 SQL: dict[str, str] = {
