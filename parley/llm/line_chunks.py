@@ -54,7 +54,7 @@ def chunks_of(data: np.ndarray, off: np.ndarray):
     row = np.repeat(np.arange(rows), count)
     roll = name.copy()
     for k in range(1, WINDOW):
-        prior = np.zeros(len(name), U)
+        prior = np.full(len(name), k, U)  # a row begins after a fixed name
         prior[k:] = np.where(row[k:] == row[:-k], name[:-k], U(k))
         roll = roll * GOLD + mix64(prior)
     ends = mix64(roll) % U(MEAN_LINES) == 0
