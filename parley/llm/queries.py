@@ -70,6 +70,54 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM w),
+h AS (
+  SELECT doc_id, pos, word, md5(string_agg(word, ' ') OVER f) AS h, count(*) OVER f AS c
+  FROM u WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+r AS (SELECT h FROM h WHERE c = 35 GROUP BY h HAVING count(*) > 1),
+m AS (SELECT h.doc_id, pos, word, (c = 35 AND r.h IS NOT NULL)::INTEGER AS starts FROM h LEFT JOIN r ON h.h = r.h),
+x AS (
+  SELECT doc_id, pos, word, max(starts) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM m),
+k AS (
+  SELECT doc_id, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (gone = 0) AS kept FROM x GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON w.doc_id = k.doc_id""",
+    "op4_suffix_array_dedup": """
+WITH d AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b FROM documents),
+u AS (SELECT doc_id, unnest(b) AS b, generate_subscripts(b, 1) AS pos FROM d),
+h AS (
+  SELECT doc_id, pos, b, string_agg(b, '') OVER f AS h, count(*) OVER f AS c
+  FROM u WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+r AS (SELECT h, min(doc_id) AS first FROM h WHERE c = 50 GROUP BY h HAVING min(doc_id) < max(doc_id)),
+m AS (SELECT h.doc_id, pos, b, coalesce(c = 50 AND r.first < h.doc_id, false)::INTEGER AS starts FROM h LEFT JOIN r ON h.h = r.h),
+x AS (
+  SELECT doc_id, pos, b, max(starts) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM m),
+y AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), 0) = 0 AS opens FROM x),
+k AS (
+  SELECT doc_id, sum(gone)::BIGINT AS n_removed, count(*) FILTER (opens) AS n_spans,
+         string_agg(b, '' ORDER BY pos) FILTER (gone = 0) AS kept FROM y GROUP BY doc_id)
+SELECT d.doc_id, len(d.b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
+    "op6_minhash_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+u AS (SELECT doc_id, len(w) AS words, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM w),
+g AS (
+  SELECT doc_id, words, pos, string_agg(word, ' ') OVER f AS s, count(*) OVER f AS c
+  FROM u WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+sh AS (SELECT DISTINCT doc_id, s FROM g WHERE c = 5 OR (words < 5 AND pos = 1)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+walk(node, at) AS (SELECT doc_id, doc_id FROM documents UNION SELECT walk.node, e.b FROM walk JOIN e ON walk.at = e.a),
+c AS (SELECT node, min(at) AS component_id FROM walk GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN c ON c.node = d.doc_id""",
     "op2_exact_topk": """
 WITH v AS (
   SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings

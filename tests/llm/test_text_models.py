@@ -228,7 +228,7 @@ def test_bpe_word_cache_starts_anew(monkeypatch):
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
     from parley.llm import circulant
-    docs = queries.table(spark, SF, "documents").filter("doc_id % 3 = 0")
+    docs = queries.table(spark, SF, "documents")
     labels, bench = (queries.table(spark, SF, t) for t in ("labels", "benchmark"))
     columns, before = docs.columns, docs.count()
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
