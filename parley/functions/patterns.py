@@ -9,6 +9,8 @@ makes ``\\w``, ``\\b`` and ``\\s`` Unicode classes (``(?U)`` implies Unicode cas
 """
 from __future__ import annotations
 
+import unicodedata
+
 
 def ci(pattern: str) -> str:
     """Case-insensitive, Unicode-aware JVM pattern."""
@@ -323,7 +325,17 @@ RUBRIC_DIMS = ["relevance", "groundedness", "tone", "correctness"]
 # END FIXED VALUES
 # ---------------------------------------------------------------------------
 
-# Latin letters with diacritics (Latin-1 Supplement and Latin Extended-A/B), used to
-# fold accented text before ASCII-only matching and for accent stripping.
-ACCENT_FROM = "ÀÁÂÃÄÅàáâãäåÈÉÊËèéêëÌÍÎÏìíîïÒÓÔÕÖòóôõöÙÚÛÜùúûüÝýÿÑñÇç"
-ACCENT_TO = "AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOoooooUUUUuuuuYyyNnCc"
+
+
+def _folds() -> dict[str, str]:
+    """Every Latin letter that decomposes into one ASCII letter and combining marks."""
+    out = {}
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        base, marks = unicodedata.normalize("NFD", c)[0], unicodedata.normalize("NFD", c)[1:]
+        if marks and base.isascii() and base.isalpha() and all(map(unicodedata.combining, marks)):
+            out[c] = base
+    return out
+
+
+# Used to fold accented text before ASCII-only matching and for accent stripping.
+ACCENT_FROM, ACCENT_TO = ("".join(x) for x in zip(*_folds().items()))

@@ -229,7 +229,7 @@ def assemble(*parts: tuple[str, Column]) -> Column:
 def parse_tweet_time(c) -> Column:
     """``EEE MMM dd HH:mm:ss Z yyyy`` to a UTC timestamp. The day name is dropped first
     because Spark rejects ``EEE`` in parse patterns."""
-    return F.try_to_timestamp(F.substring(_c(c), 5, 1000), F.lit("MMM dd HH:mm:ss Z yyyy"))
+    return F.try_to_timestamp(F.substr(_c(c), F.lit(5)), F.lit("MMM dd HH:mm:ss Z yyyy"))
 
 
 # X21 --------------------------------------------------------------------------

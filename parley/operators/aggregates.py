@@ -15,11 +15,11 @@ def _c(x) -> Column:
 
 # A1 ---------------------------------------------------------------------------
 def value_counts(df: DataFrame, col: str, null_as: str | None = None) -> DataFrame:
-    """Counts and share of total. The total is a scalar subquery, so no window ever
-    gathers the table (or the grouped result) into one task."""
+    """Counts and share of total. The total is a scalar subquery over the grouped counts, so
+    the table is scanned once and no window gathers the groups into one task."""
     key = F.coalesce(F.col(col), F.lit(null_as)) if null_as is not None else F.col(col)
     g = df.groupBy(key.alias(col)).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = g.agg(F.sum("n")).scalar()
     return g.withColumn("share", F.round(F.col("n") / total, 6))
 
 
@@ -32,11 +32,20 @@ def domain_counts(df: DataFrame, col: str, domain: DataFrame, domain_col: str |
         .withColumn("n", F.coalesce(F.col("_n"), F.lit(0)).cast("bigint")).drop("_k", "_n")
 
 
+def pivot_counts(df: DataFrame, row: str, col: str, values: Sequence[str], null_as: str = "none") -> DataFrame:
+    values = [v for v in values if v not in ("other", null_as)]
+    c = F.col(col).cast("string")
+    named = F.when(c.isNull(), F.lit(null_as)).when(c.isin(values) | (c == null_as), c).otherwise(F.lit("other"))
+    cols = [*values, "other", null_as]
+    out = df.withColumn(col, named).groupBy(row).pivot(col, cols).count()
+    return out.na.fill(0, cols)
+
+
 # A3 ---------------------------------------------------------------------------
 def crosstab(df: DataFrame, row: str, col: str, values: Sequence[str], null_as: str = "none") -> DataFrame:
-    """Two-way contingency table with an explicit column list (stable schema)."""
-    return df.withColumn(col, F.coalesce(F.col(col).cast("string"), F.lit(null_as))) \
-        .groupBy(row).pivot(col, list(values)).count().na.fill(0)
+    """Two-way contingency table with an explicit column list (stable schema): values that
+    are not listed count under ``other``, nulls under ``null_as``."""
+    return pivot_counts(df, row, col, values, null_as)
 
 
 # A6 ---------------------------------------------------------------------------

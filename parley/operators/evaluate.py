@@ -2,7 +2,7 @@
 
 Inputs are long frames of ``(truth, pred)`` per row. Everything is a grouped aggregate
 with map-side combine; the only windows run over class-level results whose size is
-the number of classes. Totals are scalar subqueries.
+the number of class pairs.
 """
 from __future__ import annotations
 
@@ -14,21 +14,30 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import rules as R
 from ..functions import text as T
+from .aggregates import pivot_counts
 
+MAX_LEVELS = 40  # labels of a rubric
 
-def _count(df: DataFrame) -> Column:
-    return df.agg(F.count(F.lit(1))).scalar()
+
+def pair_counts(preds: DataFrame, truth="truth", pred="pred", *more: str) -> DataFrame:
+    """(truth, pred, more..., n): the one pass over the rows. All measures of classes are
+    computed from this table, whose size is the number of class pairs."""
+    return preds.groupBy(F.col(truth).alias("truth"), F.col(pred).alias("pred"), *more).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _by_truth(preds: DataFrame, truth, pred) -> DataFrame:
+    return pair_counts(preds, truth, pred).groupBy(F.col("truth").alias("_t")).agg(
+        F.sum("n").alias("_n"), F.sum(F.when(F.col("pred") == F.col("truth"), F.col("n")).otherwise(0)).alias("_c"))
 
 
 # E1 ---------------------------------------------------------------------------
 def per_class(preds: DataFrame, domain: DataFrame, truth="truth", pred="pred") -> DataFrame:
     """Per-class n, correct, accuracy (null when n = 0), sample share, production share
     and over-sampling factor, over the full class domain ``(cls, ord, prod_share)``."""
-    tot = _count(preds)
-    g = preds.groupBy(F.col(truth).alias("_t")).agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(F.col(pred) == F.col(truth)).alias("_c"))
+    g = _by_truth(preds, truth, pred).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
     j = domain.join(g, domain["cls"] == g["_t"], "left")
     n = F.coalesce(F.col("_n"), F.lit(0))
+    tot = F.max("_all").over(Window.partitionBy())  # one row per class
     return j.select("cls", "ord", n.cast("bigint").alias("n"),
                     F.coalesce(F.col("_c"), F.lit(0)).cast("bigint").alias("correct"),
                     F.round(F.col("_c") / F.col("_n"), 6).alias("accuracy"),
@@ -40,12 +49,9 @@ def per_class(preds: DataFrame, domain: DataFrame, truth="truth", pred="pred") -
 def blended_and_reweighted(preds: DataFrame, domain: DataFrame, truth="truth", pred="pred") -> DataFrame:
     """Naive accuracy, and accuracy reweighted to production prevalence with the weights
     renormalized over the classes present."""
-    g = preds.groupBy(F.col(truth).alias("cls")).agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(F.col(pred) == F.col(truth)).alias("_c"))
-    t = domain.join(g, "cls", "inner").filter(F.col("_n") > 0)
-    rw = t.agg(F.sum(F.col("_c") / F.col("_n") * F.col("prod_share")) / F.sum("prod_share")).scalar()
-    return preds.agg(F.round(F.avg((F.col(pred) == F.col(truth)).cast("int")), 6).alias("naive")) \
-        .select("naive", F.round(rw, 6).alias("reweighted"))
+    t = _by_truth(preds, truth, pred).join(domain.select(F.col("cls").alias("_t"), "prod_share"), "_t", "left")
+    return t.agg(F.round(F.sum("_c") / F.sum("_n"), 6).alias("naive"),
+                 F.round(F.sum(F.col("_c") / F.col("_n") * F.col("prod_share")) / F.sum("prod_share"), 6).alias("reweighted"))
 
 
 # E4 ---------------------------------------------------------------------------
@@ -55,36 +61,44 @@ def confusion_long(preds: DataFrame, truth="truth", pred="pred") -> DataFrame:
 
 
 def confusion_matrix(preds: DataFrame, classes: Sequence[str], truth="truth", pred="pred") -> DataFrame:
-    return preds.groupBy(truth).pivot(pred, list(classes)).count().na.fill(0)
+    """Counts per true class and predicted class; predictions outside ``classes`` count
+    under ``other``, missing ones under ``none``."""
+    return pivot_counts(preds, truth, pred, classes)
 
 
 # E5 / E6 -------------------------------------------------------------------------
-def corrected_prevalence(preds: DataFrame, checked: DataFrame, truth="truth", pred="pred",
+def corrected_prevalence(preds: DataFrame, checked: str, truth="truth", pred="pred",
                          external_precision: dict[str, float] | None = None,
                          residual: str | None = None, direct: dict[str, float] | None = None) -> DataFrame:
-    """prev(k) = sum_j share(j) * P(true = k | pred = j), with P estimated on the
-    hand-checked subset. Predicted classes with no checked rows may carry an external
-    precision (miss mass goes to ``residual``); ``direct`` overrides a class outright.
-    Classes with neither are dropped, then the result is renormalized (unrounded)."""
-    tot = _count(preds)
-    share = preds.groupBy(F.col(pred).alias("_p")).agg((F.count(F.lit(1)) / tot).alias("_s"))
-    conf = checked.groupBy(F.col(pred).alias("_p"), F.col(truth).alias("cls")).agg(F.count(F.lit(1)).alias("_n"))
-    per_pred = conf.groupBy("_p").agg(F.sum("_n").alias("_np"))
-    cond = conf.join(per_pred, "_p").withColumn("_pt", F.col("_n") / F.col("_np"))
-    parts = share.join(cond, "_p").select("cls", (F.col("_s") * F.col("_pt")).alias("_v"))
-    if external_precision:
-        ext = preds.sparkSession.createDataFrame(list(external_precision.items()), "_p string, _prec double")
-        ext = share.join(ext, "_p").join(per_pred, "_p", "left_anti")
-        parts = parts.unionByName(ext.select(F.col("_p").alias("cls"), (F.col("_s") * F.col("_prec")).alias("_v")))
-        if residual:
-            parts = parts.unionByName(ext.select(F.lit(residual).alias("cls"),
-                                                 (F.col("_s") * (1 - F.col("_prec"))).alias("_v")))
-    raw = parts.groupBy("cls").agg(F.sum("_v").alias("_v"))
+    """(cls, prevalence, dropped_share): prev(k) = sum_j share(j) * P(true = k | pred = j),
+    with P estimated on the hand-checked rows, those whose flag ``checked`` is true.
+    Predicted classes with no checked rows may carry an external precision (miss mass goes
+    to ``residual``); ``direct`` overrides a class outright. Classes with neither are
+    dropped, their share of the rows is reported, and the result is renormalized
+    (unrounded). One pass over the rows; the rest works on class pairs."""
+    flag = F.coalesce(F.col(checked), F.lit(False))
+    c = pair_counts(preds.withColumn("_checked", flag), truth, pred, "_checked")
+    mine = Window.partitionBy("pred")
+    c = c.select("truth", "pred", (F.sum("n").over(mine) / F.sum("n").over(Window.partitionBy())).alias("share"),
+                 F.when(F.col("_checked"), F.col("n")).alias("n"))
+    c = c.withColumn("known", F.sum("n").over(mine))
+    ext = F.create_map(*[x for k, v in (external_precision or {"": 0.0}).items() for x in (F.lit(k), F.lit(float(v)))])
+    prec = F.when(F.col("known").isNull(), ext[F.col("pred")])
+    part = lambda cls, v: F.struct(cls.cast("string").alias("cls"), v.alias("v"))
+    # classes without a checked row have one or several (truth, pred) pairs: the first speaks for all
+    first = F.row_number().over(mine.orderBy(F.col("truth").asc_nulls_first())) == 1
+    parts = F.when(F.col("n").isNotNull(), F.array(part(F.col("truth"), F.col("share") * F.col("n") / F.col("known")))) \
+        .when(F.col("known").isNull() & first, F.array(
+            part(F.when(prec.isNotNull(), F.col("pred")), F.col("share") * F.coalesce(prec, F.lit(1.0))),
+            part(F.when(prec.isNotNull(), F.lit(residual)), F.col("share") * (1 - F.coalesce(prec, F.lit(1.0))))))
+    raw = c.select(parts.alias("p")).select(F.explode("p").alias("p")).groupBy("p.cls").agg(F.sum("p.v").alias("v"))
+    raw = raw.withColumn("dropped_share", F.sum(F.when(F.col("cls").isNull(), F.col("v")).otherwise(0.0)).over(Window.partitionBy()))
+    raw = raw.filter(F.col("cls").isNotNull())
     if direct:
-        raw = raw.filter(~F.col("cls").isin(list(direct))).unionByName(
-            preds.sparkSession.createDataFrame(list(direct.items()), "cls string, _v double"))
-    z = raw.agg(F.sum("_v")).scalar()
-    return raw.select("cls", (F.col("_v") / z).alias("prevalence"))
+        given = preds.sparkSession.createDataFrame(list(direct.items()), "cls string, v double")
+        raw = raw.filter(~F.col("cls").isin(list(direct))).unionByName(given, allowMissingColumns=True) \
+            .withColumn("dropped_share", F.max("dropped_share").over(Window.partitionBy()))
+    return raw.select("cls", (F.col("v") / F.sum("v").over(Window.partitionBy())).alias("prevalence"), "dropped_share")
 
 
 def delta_vs(prev: DataFrame, prior: DataFrame) -> DataFrame:
@@ -100,43 +114,34 @@ def rater_agreement(df: DataFrame, a: str, b: str, weights: str = "index") -> Da
     rows scored by both raters.
 
     Weights are label-index distances over the union of labels used (``index``, the
-    reference's behaviour) or raw value distances (``value``). The expected term
-    sum_ij w_ij pa_i pb_j is computed from cumulative sums over the ordered levels, so
-    no pair of marginals is ever materialized."""
-    m = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
-        F.col(a).alias("_a"), F.col(b).alias("_b"))
-    n = _count(m)
-    levels = m.select(F.col("_a").alias("v")).union(m.select(F.col("_b").alias("v"))).distinct()
-    if weights == "index":
-        levels = levels.withColumn("x", (F.dense_rank().over(Window.orderBy("v")) - 1).cast("double"))
-    else:
-        levels = levels.withColumn("x", F.col("v").cast("double"))
-    span = levels.agg(F.max("x") - F.min("x")).scalar()
-    la = levels.select(F.col("v").alias("_a"), F.col("x").alias("_xa"))
-    lb = levels.select(F.col("v").alias("_b"), F.col("x").alias("_xb"))
-    obs = m.groupBy("_a", "_b").agg((F.count(F.lit(1)) / n).alias("_p")) \
-        .join(la, "_a").join(lb, "_b") \
-        .agg(F.sum(F.abs(F.col("_xa") - F.col("_xb")) * F.col("_p"))).scalar()
-    pa = m.groupBy("_a").agg((F.count(F.lit(1)) / n).alias("pa")).join(la, "_a").select(F.col("_xa").alias("x"), "pa")
-    pb = m.groupBy("_b").agg((F.count(F.lit(1)) / n).alias("pb")).join(lb, "_b").select(F.col("_xb").alias("x"), "pb")
-    lv = levels.select("x").join(pa, "x", "left").join(pb, "x", "left").na.fill(0.0, ["pa", "pb"])
-    w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lv = lv.withColumn("F", F.sum("pb").over(w)).withColumn("G", F.sum(F.col("pb") * F.col("x")).over(w))
-    g_tot = F.sum(F.col("pb") * F.col("x")).over(Window.partitionBy())
-    f_tot = F.sum("pb").over(Window.partitionBy())
-    # sum_j |x - y_j| pb_j = x F(x) - G(x) + (Gt - G(x)) - x (Ft - F(x))
-    lv = lv.withColumn("d", F.col("x") * F.col("F") - F.col("G") + (g_tot - F.col("G"))
-                       - F.col("x") * (f_tot - F.col("F")))
-    exp = lv.agg(F.sum(F.col("pa") * F.col("d"))).scalar()
-    kappa = F.when((n >= 2) & (exp != 0), F.lit(1) - obs / exp)
-    A, B = F.col("_a"), F.col("_b")
-    return m.agg(F.count(F.lit(1)).alias("n"),
-                 F.round(F.avg((A == B).cast("int")), 6).alias("exact"),
-                 F.round(F.avg((F.abs(A - B) <= 1).cast("int")), 6).alias("within1"),
-                 F.avg(A).alias("_ma"), F.avg(B).alias("_mb")) \
-        .select("n", "exact", "within1", F.round(kappa, 6).alias("kappa_w"),
-                F.round("_ma", 6).alias("mean_a"), F.round("_mb", 6).alias("mean_b"),
-                F.round(F.col("_ma") - F.col("_mb"), 6).alias("bias"))
+    reference's behaviour) or raw value distances (``value``). One pass counts the pairs of
+    labels; the rest is arithmetic on that list, which a rubric keeps short: more than
+    ``MAX_LEVELS`` labels fail the job."""
+    pairs = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")) \
+        .agg(F.count(F.lit(1)).alias("c"))
+    # a rubric's labels bound the list; the check below stops a column that is none
+    one = pairs.agg(F.slice(F.collect_list(F.struct("a", "b", "c")), 1, MAX_LEVELS ** 2 + 1).alias("p"))
+    labels = lambda side: F.transform("p", lambda x: x[side])
+    one = one.withColumn("lv", F.array_sort(F.array_union(labels("a"), labels("b"))))
+    one = one.withColumn("p", F.when(F.size("lv") <= MAX_LEVELS, F.col("p")).otherwise(
+        F.from_json(F.raise_error(F.lit("too many labels for a rubric")).cast("string"), dict(one.dtypes)["p"])))
+    at = (lambda v: F.array_position("lv", v).cast("double")) if weights == "index" else (lambda v: v.cast("double"))
+    total = lambda f: F.aggregate("p", F.lit(0.0), lambda acc, x: acc + f(x).cast("double"))
+    n = F.nullif(total(lambda x: x["c"]), F.lit(0.0))
+    obs = total(lambda x: F.abs(at(x["a"]) - at(x["b"])) * x["c"]) / n
+    # marginals: every a with its count against every b with its count
+    exp = F.aggregate("p", F.lit(0.0), lambda acc, x: acc + F.aggregate(
+        "p", F.lit(0.0), lambda acc2, y: acc2 + F.abs(at(x["a"]) - at(y["b"])) * x["c"] * y["c"])) / (n * n)
+    one = one.select(
+        F.coalesce(n, F.lit(0.0)).cast("bigint").alias("n"),
+        (total(lambda x: F.when(x["a"] == x["b"], x["c"]).otherwise(0)) / n).alias("e"),
+        (total(lambda x: F.when(F.abs(x["a"] - x["b"]) <= 1, x["c"]).otherwise(0)) / n).alias("w"),
+        (total(lambda x: x["a"] * x["c"]) / n).alias("ma"), (total(lambda x: x["b"] * x["c"]) / n).alias("mb"),
+        obs.alias("obs"), exp.alias("exp"))
+    kappa = F.when((F.col("n") >= 2) & (F.col("exp") != 0), F.lit(1) - F.col("obs") / F.nullif("exp", F.lit(0.0)))
+    return one.select("n", F.round("e", 6).alias("exact"), F.round("w", 6).alias("within1"), F.round(kappa, 6).alias("kappa_w"),
+                      F.round("ma", 6).alias("mean_a"), F.round("mb", 6).alias("mean_b"),
+                      F.round(F.col("ma") - F.col("mb"), 6).alias("bias"))
 
 
 # E8 ---------------------------------------------------------------------------

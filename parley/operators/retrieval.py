@@ -24,14 +24,21 @@ def policy_table(spark: SparkSession, policy: dict[str, tuple[str, Sequence[str]
     return spark.createDataFrame(rows, "cls string, policy string, types array<string>, pool_key string")
 
 
+def known_class(known: str, cls: str, value):
+    """``value`` where the flag column ``known`` is set; a class outside the policy fails the
+    job, for it would otherwise fall through to a branch it was never meant for (Q2)."""
+    return F.when(F.col(known), value).otherwise(
+        F.raise_error(F.concat(F.lit("class outside the policy: "), F.coalesce(F.col(cls), F.lit("NULL")))).cast("string"))
+
+
 # G1 ---------------------------------------------------------------------------
-def class_pools(corpus: DataFrame, policy: DataFrame, eval_ids: DataFrame, id_col: str, type_col: str,
+def class_pools(corpus: DataFrame, policy: DataFrame, eval_ids: DataFrame | None, id_col: str, type_col: str,
                 cluster_col: str, cap: int = P.MAX_REPS, seed=0) -> DataFrame:
     """One pool per distinct ``pool_key``: corpus rows whose type is acceptable, minus the
-    evaluation ids (anti-join), at most ``cap`` rows per near-duplicate cluster."""
+    evaluation ids, if given (anti-join), at most ``cap`` rows per near-duplicate cluster."""
     keys = policy.filter((F.col("policy") != "none") & (F.size("types") > 0)) \
         .select("pool_key", F.explode("types").alias("_type")).distinct()
-    pool = corpus.join(eval_ids.select(id_col), id_col, "left_anti")
+    pool = corpus if eval_ids is None else corpus.join(eval_ids.select(id_col), id_col, "left_anti")
     pool = pool.join(F.broadcast(keys), pool[type_col] == keys["_type"]).drop("_type")
     return W.per_stratum(pool, ["pool_key", cluster_col], id_col, cap, seed)
 
@@ -41,8 +48,9 @@ def apply_gates(c: DataFrame, policy: DataFrame, tau=P.TAU, template_exempt: str
     """G1 similarity >= tau (a number or a per-row column), G2 neighbour type acceptable
     for the query class, G3 neighbour class equals query class, G4 not a redirect
     template unless the query class is exempt; usable = all four; gated score."""
-    pol = F.broadcast(policy.select(F.col("cls").alias("q_class"), F.col("types").alias("_types")))
-    c = c.join(pol, "q_class", "left")
+    pol = F.broadcast(policy.select(F.col("cls").alias("q_class"), F.col("types").alias("_types"),
+                                    F.lit(True).alias("_known")))
+    c = c.join(pol, "q_class", "left").withColumn("q_class", known_class("_known", "q_class", F.col("q_class"))).drop("_known")
     tau_c = F.col(tau) if isinstance(tau, str) else F.lit(float(tau))
     c = c.withColumn("g1_lexical", F.col("cos") >= tau_c) \
         .withColumn("g2_form", F.coalesce(F.array_contains("_types", F.col("n_type")), F.lit(False))) \

@@ -1,29 +1,31 @@
 """Dense vectors: dot/cosine expressions, exact top-k similarity join, random-pair
 threshold calibration, centroids (X20, V3, V4, V5, V8, T5).
 
-The exact top-k join never builds a query x pool cross join. The query block (size
-checked against ``max_block_bytes``) is shipped to executors as a broadcast matrix; each
-pool partition computes its local top-k with one numpy matmul per Arrow batch
-(``mapInPandas``), and a bounded ``row_number() <= k`` per query merges the partials
-(WindowGroupLimit keeps at most k rows per query per partition before the shuffle).
-Query sets larger than one block are processed block by block.
+The exact top-k deals queries and pool to the cells of a grid (``grid.cells``); each cell
+multiplies one query block with one pool block and keeps exactly k rows per query, and a
+bounded ``row_number() <= k`` per query merges the cells (WindowGroupLimit keeps at most k
+rows per query and partition before the shuffle).
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from . import grid
+from .grid import best_k, cells
 
-DEFAULT_BLOCK_BYTES = 256 * 1024 * 1024
+Q_ROWS, P_ROWS = 4096, 8192  # rows of a query block and of a pool block
+STEP = 512                   # queries scored at once inside a cell
 
-# Functions shipped to Python workers (mapInPandas bodies, UDFs) are pickled by value,
+# Functions shipped to Python workers (cell functions) are pickled by value,
 # so executors need numpy/pandas but not this package on their path.
 import sys as _sys
 from pyspark import cloudpickle as _cloudpickle
 _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+_cloudpickle.register_pickle_by_value(grid)
 
 
 
@@ -46,87 +48,42 @@ def cosine(a, b) -> Column:
 
 
 # V3 ---------------------------------------------------------------------------
-def _local_topk(block, k: int, id_col: str, vec_col: str, key_col: str | None, exclude_self: bool):
-    """``block`` is a broadcast variable holding (ids, unit-normalized matrix, keys)."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q_ids, q_mat, q_keys = block.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            p_ids = pdf[id_col].to_numpy()
-            p_mat = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            p_mat /= np.linalg.norm(p_mat, axis=1, keepdims=True)
-            sims = q_mat @ p_mat.T                       # (nq, np)
-            if exclude_self:
-                sims[q_ids[:, None] == p_ids[None, :]] = -np.inf
-            if q_keys is not None:
-                p_keys = pdf[key_col].to_numpy()
-                sims[q_keys[:, None] != p_keys[None, :]] = -np.inf
-            kk = min(k, sims.shape[1])
-            # candidates: top-kk by (score desc, pool id asc); ties resolved exactly below
-            part = np.argpartition(-sims, kk - 1, axis=1)[:, :kk] if kk < sims.shape[1] \
-                else np.tile(np.arange(sims.shape[1]), (sims.shape[0], 1))
-            kth = np.take_along_axis(sims, part, 1).min(axis=1, keepdims=True)
-            # keep every pool row tied with the k-th score so the final order by id is exact
-            rows, cols = np.nonzero((sims >= kth) & np.isfinite(sims))
-            yield pd.DataFrame({"q_id": q_ids[rows], "n_id": p_ids[cols],
-                                "cos": sims[rows, cols]})
-    return run
+def _matrix(column) -> np.ndarray:
+    column = column.combine_chunks()
+    m = column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
 def topk_dense(queries: DataFrame, pool: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec",
-               key_col: str | None = None, exclude_self: bool = True,
-               max_block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+               key_col: str | None = None, exclude_self: bool = True, q_rows: int = Q_ROWS, p_rows: int = P_ROWS) -> DataFrame:
     """Exact top-k cosine neighbours of every query in ``pool``; ``rank`` is 0-based,
-    ties go to the smaller pool id. With ``key_col`` a query only sees pool rows with
-    the same key (per-class pools, V4)."""
-    spark = queries.sparkSession
-    qcols = [id_col, vec_col] + ([key_col] if key_col else [])
-    q = queries.select(*qcols)
-    n_q = q.count()
-    if n_q == 0:
-        return spark.createDataFrame([], "q_id long, n_id long, cos double, rank int")
-    dim = len(q.select(vec_col).first()[0])
-    per_row = dim * 8 + 16
-    block_rows = max(1, max_block_bytes // per_row)
-    n_blocks = max(1, -(-n_q // block_rows))
-    pcols = [id_col, vec_col] + ([key_col] if key_col else [])
-    p = pool.select(*pcols)
+    ties (scores equal at nine digits) go to the smaller pool id. With ``key_col`` a query
+    only meets pool rows with the same key (per-class pools, V4). Vectors of one table have
+    one length."""
+    keys = [key_col] if key_col else []
+    q, p = cells(queries.select(id_col, vec_col, *keys), pool.select(id_col, vec_col, *keys), id_col, id_col, keys, q_rows, p_rows)
+
+    def score(qt: pa.Table, pt: pa.Table) -> pa.Table:
+        out = []
+        if len(qt) and len(pt):
+            q_ids, p_ids = (t.column(id_col).to_numpy() for t in (qt, pt))
+            q_mat, p_mat = _matrix(qt.column(vec_col)), _matrix(pt.column(vec_col))
+            for a in range(0, len(q_ids), STEP):  # bounds the score block
+                sims = q_mat[a:a + STEP] @ p_mat.T
+                if exclude_self:
+                    sims[q_ids[a:a + STEP, None] == p_ids[None, :]] = -np.inf
+                rows, cols = best_k(sims, p_ids, k)
+                out.append((q_ids[a + rows], p_ids[cols], sims[rows, cols]))
+        cols = [np.concatenate(x) for x in zip(*out)] if out else [[], [], []]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("q_id", "n_id", "cos"), cols, (kind, kind, pa.float64()))})
+
     id_type = dict(pool.dtypes)[id_col]
-    schema = f"q_id {id_type}, n_id {id_type}, cos double"
-    parts = []
-    for b in range(n_blocks):
-        qb = q if n_blocks == 1 else q.filter(F.pmod(F.xxhash64(id_col), F.lit(n_blocks)) == b)
-        pdf = qb.toPandas()  # one size-checked block
-        ids = pdf[id_col].to_numpy()
-        mat = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-        mat /= np.linalg.norm(mat, axis=1, keepdims=True)
-        keys = pdf[key_col].to_numpy() if key_col else None
-        block = spark.sparkContext.broadcast((ids, mat, keys))   # once per executor, not per task
-        fn = _local_topk(block, k, id_col, vec_col, key_col, exclude_self)
-        parts.append(p.mapInPandas(fn, schema))
-    cand = parts[0]
-    for extra in parts[1:]:
-        cand = cand.unionByName(extra)
-    # Scores equal to 1e-9 are ties, ranked by pool id (BLAS kernels may differ in the last bits).
+    kind = to_arrow_type(pool.schema[id_col].dataType)
+    cand = q.cogroup(p).applyInArrow(lambda a, b: score(a, b), f"q_id {id_type}, n_id {id_type}, cos double")
     w = Window.partitionBy("q_id").orderBy(F.round("cos", 9).desc(), F.asc("n_id"))
     return cand.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
 
 
-def topk_expr(queries: DataFrame, pool: DataFrame, k: int, id_col="id", vec_col="vec",
-              key_col: str | None = None) -> DataFrame:
-    """Pure-expression form of the top-k join (the oracle's shape): an equi-join on the
-    pool key (a per-class pool) and the X20 expression; for small pools and tests."""
-    q = queries.select(F.col(id_col).alias("q_id"), F.col(vec_col).alias("_qv"),
-                       *([F.col(key_col).alias("_k")] if key_col else [F.lit(1).alias("_k")]))
-    p = pool.select(F.col(id_col).alias("n_id"), F.col(vec_col).alias("_pv"),
-                    *([F.col(key_col).alias("_k")] if key_col else [F.lit(1).alias("_k")]))
-    j = q.join(p, "_k").filter(F.col("q_id") != F.col("n_id")).withColumn("cos", cosine("_qv", "_pv"))
-    w = Window.partitionBy("q_id").orderBy(F.desc("cos"), F.asc("n_id"))
-    return j.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k) \
-        .select("q_id", "n_id", "cos", "rank")
-
-
 # V5 ---------------------------------------------------------------------------
 def calibrate(pool: DataFrame, id_col: str, vec_col: str, n_pairs: int = 20000, pctile: float = 0.95,
               seed: int = 0) -> DataFrame:

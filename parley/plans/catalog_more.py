@@ -12,6 +12,7 @@ from ..operators import dedup as D
 from ..operators import evaluate as E
 from ..operators import routing as RO
 from ..operators import sampling as W
+from ..session import keep
 from . import jobs
 from .catalog import SQL_NORM, SQL_PAIRS, register, tb
 from .catalog_rules import sql_label_intent, sql_overrides, sql_real_words, sql_resolution_type, sql_unsupported
@@ -23,8 +24,7 @@ THRESHOLD = 0.8
 # ---------------------------------------------------------------------------
 # V6 near duplicates
 # ---------------------------------------------------------------------------
-SQL_SETS = f"""n as (select doc_id, {SQL_NORM} as norm from documents),
-r as (select norm, min(doc_id) as id from n group by norm),
+_SETS = f"""r as (select norm, min(doc_id) as id from n group by norm),
 w as (select id, norm, list_filter(string_split(norm, ' '), lambda x: x <> '') as w from r),
 s as (select id, norm, case when len(w) >= 3 then list_distinct(list_transform(range(1, len(w) - 1),
         lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) else []::varchar[] end as sh from w),
@@ -33,13 +33,22 @@ c as (select distinct x.id as a, y.id as b from e x join e y on x.s = y.s and x.
 v as (select c.a, c.b, len(list_intersect(sa.sh, sb.sh)) as i, len(sa.sh) as na, len(sb.sh) as nb
       from c join s sa on c.a = sa.id join s sb on c.b = sb.id),
 pairs as (select a, b, i / (na + nb - i) as jaccard from v where i / (na + nb - i) >= {THRESHOLD} - 1e-12)"""
+SQL_SETS = f"n as (select doc_id, {SQL_NORM} as norm from documents),\n{_SETS}"
+
+
+def sql_clusters(rows: str) -> str:
+    """(doc_id, cluster) over ``rows`` = (doc_id, norm)."""
+    return f"""(with recursive n as {rows}, {_SETS},
+edges as (select a, b from pairs union all select b, a from pairs),
+walk(node, comp) as (select id, id from r union select e.b, w.comp from walk w join edges e on w.node = e.a),
+cc as (select node, min(comp) as comp from walk group by node)
+select n.doc_id, cc.comp as cluster from n join r using (norm) join cc on r.id = cc.node)"""
 
 
 def doc_sets(spark, d):
-    from pyspark import StorageLevel
     n = D.with_norm(tb(spark, d, "documents").select("doc_id", "text"), "text")
     reps = D.representatives(n, "doc_id")
-    return n, reps, D.shingles(reps, "rep_id").persist(StorageLevel.MEMORY_AND_DISK)
+    return n, reps, keep(D.shingles(reps, "rep_id"))
 
 
 @register("v6_near_dup_pairs", f"with {SQL_SETS} select a, b, round(jaccard, 6) as jaccard from pairs")
@@ -221,7 +230,7 @@ def st2_stream_decisions(spark, d):
 @register("v7_kmeans_selection")
 def v7_kmeans_selection(spark, d):
     from ..operators.models import kmeans_select
-    return kmeans_select(tb(spark, d, "embeddings"), "embedding", range(6, 13), restarts=3, seed=0)
+    return kmeans_select(tb(spark, d, "embeddings"), "embedding", range(6, 13), seed=0)
 
 
 @register("v9_text_classifier")
@@ -284,16 +293,17 @@ _PREFIX = (f"case route when 'escalate_override' then 'safety_override' "
            f"when 'policy_fact' then case when intent in ({', '.join(q(k) for k in P.TEMPLATES)}) then 'canned_template' else 'stated_policy_fact' end "
            f"else 'grounded' end")
 
-def flagship_sql(policy=None, candidates=False):
+def flagship_sql(policy=None, candidates=False, grounded=False):
     return f"""(with p as (select conv_id, conv_id::varchar || ':' || q_turn::varchar as id,
     {_anon('customer_text')} as customer_text, {_anon('brand_text')} as brand_text from {SQL_PAIRS} x),
-c as (select id, conv_id, customer_text, brand_text, {sql_label_intent('customer_text', 'brand_text')} as intent,
+c0 as (select id, conv_id, customer_text, brand_text, {sql_label_intent('customer_text', 'brand_text')} as intent,
     {sql_resolution_type('brand_text')} as res_type, {_NORM_BRAND} as norm, {rmatch('brand_text', P.LANG_REDIRECT)} as template from p),
-g as (select * exclude (rn) from (select *, row_number() over (partition by intent order by md5('0:' || id), id) as rn from c) where rn <= {P.SAMPLE_PER_INTENT}),
+clu as {sql_clusters('(select id as doc_id, norm from c0)')},
+g as (select c0.*, clu.cluster from c0 join clu on c0.id = clu.doc_id),
 pol as {_policy_rows(policy)},
 keys as (select distinct pool_key, unnest(types) as t from pol where policy <> 'none' and len(types) > 0),
-pool0 as (select c.*, k.pool_key from c join keys k on c.res_type = k.t where c.id not in (select id from g)),
-pool as (select * exclude (rn) from (select *, row_number() over (partition by pool_key, norm order by md5('0:' || id), id) as rn from pool0) where rn <= {P.MAX_REPS}),
+pool0 as (select g.*, k.pool_key from g join keys k on g.res_type = k.t),
+pool as (select * exclude (rn) from (select *, row_number() over (partition by pool_key, cluster order by md5('0:' || id), id) as rn from pool0) where rn <= {P.MAX_REPS}),
 qq as (select g.*, pol.pool_key from g join pol on g.intent = pol.cls where pol.pool_key is not null),
 pt as {_terms('pool', 'customer_text')},
 qt as {_terms('qq', 'customer_text')},
@@ -303,7 +313,8 @@ pw0 as (select pool_key, id, term, (1 + ln(tf)) * idf as w from pt join voc usin
 pw as (select pool_key, id, term, w / sqrt(sum(w * w) over (partition by pool_key, id)) as w from pw0),
 qw0 as (select pool_key, id, term, (1 + ln(tf)) * idf as w from qt join voc using (pool_key, term)),
 qw as (select pool_key, id, term, w / sqrt(sum(w * w) over (partition by pool_key, id)) as w from qw0),
-s as (select a.pool_key, a.id as q_id, b.id as n_id, sum(a.w * b.w) as cos from qw a join pw b on a.pool_key = b.pool_key and a.term = b.term and a.id <> b.id group by 1, 2, 3),
+s as (select a.pool_key, a.id as q_id, b.id as n_id, sum(a.w * b.w) as cos from qw a join pw b on a.pool_key = b.pool_key and a.term = b.term
+  and split_part(a.id, ':', 1) <> split_part(b.id, ':', 1) group by 1, 2, 3),
 cand as (select * from (select *, row_number() over (partition by pool_key, q_id order by round(cos, 9) desc, n_id) - 1 as rank from s) where rank < {P.TOP_K}),
 gated2 as (select cand.q_id, cand.n_id, cand.rank::bigint as rank, cand.cos, cand.cos >= {P.TAU} and coalesce(list_contains(pq.types, pool.res_type), false)
     and coalesce(pool.intent = g.intent, false) and (not coalesce(pool.template, false) or g.intent = 'non_english') as usable
@@ -311,12 +322,15 @@ gated2 as (select cand.q_id, cand.n_id, cand.rank::bigint as rank, cand.cos, can
   left join pol pq on g.intent = pq.cls),
 gated as (select q_id, usable from gated2),
 nu as (select q_id, count(*) filter (where usable) as n_usable from gated group by 1),
-r as (select g.id, g.intent, case when len({sql_overrides('g.customer_text', 'g.intent')}) > 0 then 'escalate_override'
+best as (select q_id, arg_max({{'n_id': n_id, 'rank': rank}}, {{'s': cos, 'r': -rank}}) as b from gated2 where usable group by 1),
+r as (select g.id, g.intent, g.brand_text, best.b.n_id as n_id, case when len({sql_overrides('g.customer_text', 'g.intent')}) > 0 then 'escalate_override'
     when g.intent in ({', '.join(q(k) for k in P.NO_DRAFT)}) then 'no_draft_policy'
     when g.intent in ({', '.join(q(k) for k in list(P.TEMPLATES) + list(P.POLICY_FACTS))}) then 'policy_fact'
     when coalesce(nu.n_usable, 0) = 0 then 'no_usable_grounding' else 'grounded' end as route
-  from g left join nu on g.id = nu.q_id)
+  from g left join nu on g.id = nu.q_id left join best on g.id = best.q_id)
 """ + ("""select q_id, n_id, rank, round(cos, 6) as cos, usable from gated2)""" if candidates else
+       f"""select r.id, r.n_id as grounded_on, array_to_string({sql_unsupported('r.brand_text', 'o.brand_text')}, '|') as unsupported
+  from r join g o on r.n_id = o.id where r.route = 'grounded')""" if grounded else
        f"""select id, intent, route, {_ACTION} as action, {_PREFIX} as reason_prefix from r)""")
 
 
@@ -351,7 +365,23 @@ def g9_bound_policy_summary(spark, d):
 
 @register("g2_flagship_candidates", f"select * from {flagship_sql(BOUND_POLICY, candidates=True)} z")
 def g2_flagship_candidates(spark, d):
-    corpus = jobs.corpus_from_conversations(spark, d)
-    golden = jobs.evaluation_set(spark, d, corpus)
-    g = jobs.gated_candidates(spark, corpus, golden, policy=BOUND_POLICY)
+    corpus = jobs.keep(jobs.corpus_from_conversations(spark, d))
+    g = jobs.gated_candidates(spark, corpus, policy=BOUND_POLICY)
     return g.select("q_id", "n_id", F.col("rank").cast("bigint").alias("rank"), F.round("cos", 6).alias("cos"), "usable")
+
+
+# External drafts bound to the tables: the reply the message really got, offered for the
+# grounded route only, and checked against the neighbour's reply it is grounded on.
+@register("g8_grounded_draft_checks", f"select * from {flagship_sql(BOUND_POLICY, grounded=True)} z")
+def g8_grounded_draft_checks(spark, d):
+    x = jobs.decisions(spark, d, BOUND_POLICY, lambda c: c.select(
+        "id", F.lit("grounded").alias("route"), F.col("brand_text").alias("draft")))
+    return x.filter(F.col("route") == "grounded").select("id", "grounded_on", F.array_join("unsupported", "|").alias("unsupported"))
+
+
+@register("a16_decision_violations", f"""
+select count(*) filter (where action = 'escalate' and coalesce(trim(reason_prefix), '') = '')::bigint as escalate_without_reason,
+  0::bigint as escalate_with_draft, (select count(*) from (select id from {SQL_FLAGSHIP_DECISIONS} y group by id having count(*) > 1))::bigint as duplicate_ids
+from {SQL_FLAGSHIP_DECISIONS} z""")
+def a16_decision_violations(spark, d):
+    return jobs.decision_violations(spark, d)

@@ -334,7 +334,9 @@ def e2_e3_blended(spark, d):
 
 @register("e4_confusion", """
 with p as """ + SQL_PRED + """ select truth, count(*) filter (where pred = 'english')::bigint as english,
-  count(*) filter (where pred = 'non_english')::bigint as non_english from p group by truth""")
+  count(*) filter (where pred = 'non_english')::bigint as non_english,
+  count(*) filter (where pred not in ('english', 'non_english'))::bigint as other, count(*) filter (where pred is null)::bigint as none
+from p group by truth""")
 def e4_confusion(spark, d):
     return E.confusion_matrix(lang_predictions(spark, d), [k for k, _ in LANG_CLASSES])
 
@@ -354,8 +356,8 @@ select prev.cls, round(prevalence, 6) as prevalence, prior.prior, round(100 * (p
 from prev join prior on prev.cls = prior.cls""")
 def e5_e6_prevalence(spark, d):
     p = lang_predictions(spark, d)
-    checked = p.join(tb(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
-    prev = E.corrected_prevalence(p, checked)
+    checked = tb(spark, d, "labels").select("doc_id").distinct().withColumn("checked", F.lit(True))
+    prev = E.corrected_prevalence(p.join(checked, "doc_id", "left"), "checked")
     prior = spark.createDataFrame(list(PRIOR.items()), "cls string, prior double")
     return E.delta_vs(prev, prior)
 

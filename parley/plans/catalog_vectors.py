@@ -9,7 +9,6 @@ from ..operators import retrieval as RT
 from ..operators import routing as RO
 from ..operators import sparse as SP
 from ..operators import vectors as V
-from . import jobs
 from .catalog import register, tb
 
 # Rule table binding the embeddings to retrieval classes: class = label; the neighbour
@@ -218,9 +217,11 @@ def v3_sparse_topk(spark, d):
     return t.select("q_id", "n_id", F.round("cos", 6).alias("cos"), F.col("rank").cast("bigint").alias("rank"))
 
 
-# ---------------------------------------------------------------------------
-# Decisions over conversations (flagship); rows-only (no SQL twin)
-# ---------------------------------------------------------------------------
-@register("a16_decision_violations")
-def a16_decision_violations(spark, d):
-    return jobs.decision_violations(spark, d)
+@register("v4_keyed_dense_topk", f"""
+select q_id, n_id, round(cos, 6) as cos, rank::bigint as rank from (select a.vec_id as q_id, b.vec_id as n_id, {SQL_COS} as cos,
+  row_number() over (partition by a.vec_id order by round({SQL_COS}, 9) desc, b.vec_id) - 1 as rank
+  from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id) where rank < 3""")
+def v4_keyed_dense_topk(spark, d):
+    e = emb(spark, d)
+    t = V.topk_dense(e, e, 3, "id", "vec", key_col="cls")
+    return t.select("q_id", "n_id", F.round("cos", 6).alias("cos"), F.col("rank").cast("bigint").alias("rank"))

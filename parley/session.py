@@ -3,8 +3,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -47,15 +48,14 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
-
-    Only when the session has none (local tests) is a fresh scratch folder created and
-    registered; a cluster always names its own shared location."""
+    """The shared folder named by the cluster in ``spark.checkpoint.dir``. A session on one
+    machine that names none gets a fresh scratch folder; on a cluster that is an error,
+    for a local folder of the driver is not seen by executors."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if d:
-        if d.startswith("file:"):
-            d = d[len("file:"):]
         return d
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     d = tempfile.mkdtemp(prefix="parley-ckpt-", dir=os.environ.get("PARLEY_SCRATCH", "/tmp"))
     spark.sparkContext.setCheckpointDir(d)
     spark.conf.set("spark.checkpoint.dir", d)
@@ -69,6 +69,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back: later uses do not compute it
+    again, the lineage is cut, and a lost executor costs nothing that was finished."""
+    path = f"{checkpoint_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def suggest_shuffle_partitions(input_bytes: int, target_bytes: int = 128 * 1024 * 1024,
                                cores: int = 8, expansion: float = 1.0) -> int:
     """Shuffle partitions so each reduce partition holds about ``target_bytes``

@@ -25,11 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # S1 / S2 -------------------------------------------------------------------------
 def read_messages_csv(spark: SparkSession, path: str, *extra: str) -> DataFrame:
     """Raw message CSV, every column a string (ids must never become numbers), pruned
-    to the fixed columns plus ``extra``; ``inbound`` normalized to boolean."""
+    to the fixed columns plus ``extra``; ``inbound`` normalized to boolean. Columns are found
+    by the header's names, in any order and among any others; a missing one fails.
+    Quoted line breaks make a file one task: give many files, or convert once."""
     cols = MESSAGE_COLUMNS + list(extra)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
-    df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
-          .option("escape", '"').option("enforceSchema", False).csv(path))
+    df = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True) \
+        .option("escape", '"').csv(path)
     from ..functions.text import text_flag
     return df.select(*cols).withColumn("inbound", text_flag("inbound"))
 
@@ -71,7 +72,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 # S6 / S7 -------------------------------------------------------------------------
 def read_label_log(spark: SparkSession, path: str, key: str, schema: T.StructType | None = None,
                    model: str | None = None) -> DataFrame:
-    """Append-only JSON-lines label log; the latest ``seq`` per key wins. Blank lines
+    """Append-only JSON-lines label log; the latest ``(batch, seq)`` per key wins. Blank lines
     are skipped by the reader. With ``model`` set, only that model's partition is read
     (``partitionBy('model')``), so labels from different models never mix."""
     r = spark.read
@@ -81,16 +82,18 @@ def read_label_log(spark: SparkSession, path: str, key: str, schema: T.StructTyp
     if model is not None:
         df = df.filter(F.col("model") == model)
     df = df.filter(F.col(key).isNotNull())
-    return latest_per_key(df, key, [F.col("seq").desc()])
+    batch = [F.col("batch").desc_nulls_last()] if "batch" in df.columns else []
+    return latest_per_key(df, key, [*batch, F.col("seq").desc()])
 
 
-def append_label_log(df: DataFrame, path: str, seq_start: int | None = None) -> None:
-    """Append records with a monotonically increasing ``seq`` (file order is not
-    defined on a distributed file set). ``seq`` = epoch-millis batch prefix + row
-    offset, so later appends always sort after earlier ones."""
+def append_label_log(df: DataFrame, path: str, batch: int | None = None, position: str | None = None) -> None:
+    """Append records so that later ones win: ``batch`` (by default the time in ms) orders
+    appends, ``seq`` the records of one append. File order is not defined on a distributed
+    file set, so ``seq`` is the caller's ``position`` column; without one it follows the
+    frame's partitions and is unique, which orders records only if partitions are."""
     import time
-    base = int(time.time() * 1000) * 1_000_000 if seq_start is None else seq_start
-    out = df.withColumn("seq", F.lit(base) + F.monotonically_increasing_id() % 1_000_000)
+    out = df.withColumn("seq", F.col(position).cast("bigint") if position else F.monotonically_increasing_id()) \
+        .withColumn("batch", F.lit(int(time.time() * 1000) if batch is None else batch))
     w = out.write.mode("append")
     if "model" in out.columns:
         w = w.partitionBy("model")

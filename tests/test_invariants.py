@@ -156,13 +156,13 @@ def test_unknown_route_fails_the_job(spark):
 
 def test_prevalence_correction_external_precision_and_override(spark):
     # 10 rows predicted: a x4, b x2, c x2 (external precision), d x2 (no information)
+    known = {0: "a", 1: "b", 4: "b", 5: "b"}
     preds = spark.createDataFrame(
-        [(i, p, None) for i, p in enumerate(["a"] * 4 + ["b"] * 2 + ["c"] * 2 + ["d"] * 2)],
-        "id int, pred string, truth string")
-    checked = spark.createDataFrame([(0, "a", "a"), (1, "a", "b"), (4, "b", "b"), (5, "b", "b")],
-                                    "id int, pred string, truth string")
-    prev = {r.cls: r.prevalence for r in E.corrected_prevalence(
-        preds, checked, external_precision={"c": 0.5}, residual="b", direct={"z": 0.1}).collect()}
+        [(i, p, known.get(i, "a"), i in known) for i, p in enumerate(["a"] * 4 + ["b"] * 2 + ["c"] * 2 + ["d"] * 2)],
+        "id int, pred string, truth string, checked boolean")
+    rows = E.corrected_prevalence(preds, "checked", external_precision={"c": 0.5}, residual="b", direct={"z": 0.1}).collect()
+    prev = {r.cls: r.prevalence for r in rows}
+    assert all(abs(r.dropped_share - 0.2) < 1e-9 for r in rows)
     # raw mass: a = .4*.5 = .2; b = .4*.5 + .2*1 + .2*.5 = .5; c = .2*.5 = .1; z = .1 (direct);
     # d has neither confusion nor external precision and is dropped; total .9
     assert set(prev) == {"a", "b", "c", "z"}
@@ -176,3 +176,40 @@ def test_shuffle_partition_sizing():
     assert suggest_shuffle_partitions(10 * 1024 ** 2, cores=8) == 8                 # small input: one per core
     assert suggest_shuffle_partitions(100 * 1024 ** 4, cores=8000) == 824000        # 100 TB at 128 MB, rounded to cores
     assert suggest_shuffle_partitions(1024 ** 3, cores=8, expansion=2.0) == 16
+
+
+def test_rater_agreement_refuses_a_column_that_is_no_rubric(spark):
+    df = spark.range(200).select((F.col("id")).cast("int").alias("a"), (F.col("id") + 1).cast("int").alias("b"))
+    with pytest.raises(Exception, match="too many labels"):
+        E.rater_agreement(df, "a", "b").collect()
+    assert E.rater_agreement(df.limit(0), "a", "b").first().n == 0
+
+
+def test_crosstab_counts_every_row(spark):
+    from parley.operators import aggregates as A
+    df = spark.createDataFrame([("x", "a"), ("x", "b"), ("x", None), ("y", "zzz"), ("y", "other")], "r string, c string")
+    got = {r.r: tuple(r)[1:] for r in A.crosstab(df, "r", "c", ["a", "b"]).collect()}
+    assert got == {"x": (1, 1, 0, 1), "y": (0, 0, 2, 0)}
+
+
+def test_class_outside_the_policy_fails(spark):
+    from parley.operators import retrieval as RT
+    c = spark.createDataFrame([(1, "no_such_class", 0, 0.9, 2, "x", "y", False)],
+                              "q_id long, q_class string, rank int, cos double, n_id long, n_class string, n_type string, n_template boolean")
+    with pytest.raises(Exception, match="outside the policy"):
+        RT.apply_gates(c, RT.policy_table(spark, {"a": ("required", ["y"])})).collect()
+
+
+def test_accents_of_extended_latin(spark):
+    from parley.functions import text as T
+    df = spark.createDataFrame([("šžčřğşőÉñ ø ß",)], "t string")
+    assert df.select(T.strip_accents("t").alias("t")).first().t == "szcrgsoEn ø ß"
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    from types import SimpleNamespace as N
+    from parley import session
+    conf = N(get=lambda k, d=None: d)
+    spark = N(conf=conf, sparkContext=N(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(spark)

@@ -2,6 +2,8 @@
 import json
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from parley.operators import threads as TH
@@ -76,8 +78,8 @@ def test_append_label_log_orders_later_batches_after(spark, scratch):
     path = os.path.join(scratch, "log2")
     a = spark.createDataFrame([("1", "old", "m")], "tweet_id string, intent string, model string")
     b = spark.createDataFrame([("1", "new", "m")], "tweet_id string, intent string, model string")
-    IO.append_label_log(a, path, seq_start=0)
-    IO.append_label_log(b, path, seq_start=10_000_000)
+    IO.append_label_log(a, path, batch=1)
+    IO.append_label_log(b, path, batch=2)
     got = IO.read_label_log(spark, path, "tweet_id", model="m").first().intent
     assert got == "new"
 
@@ -106,3 +108,28 @@ def test_read_through_builds_once(spark, scratch):
 def test_lenient_numeric(spark):
     df = spark.createDataFrame([("4",), ("X",), (None,)], "h string")
     assert [r.h for r in IO.lenient_numeric(df, ["h"]).collect()] == [4, None, None]
+
+
+def test_messages_found_by_name_in_any_order(spark, scratch):
+    path = os.path.join(scratch, "real.csv")
+    with open(path, "w") as f:
+        f.write("tweet_id,author_id,inbound,created_at,text,response_tweet_id,in_response_to_tweet_id\n")
+        f.write('007,u,True,Tue Oct 31 22:10:47 +0000 2017,"two\nlines, quoted ""q""",8,\n')
+    r = IO.read_messages_csv(spark, path, "text", "created_at").first()
+    assert (r.tweet_id, r.inbound, r.response_tweet_id, r.in_response_to_tweet_id) == ("007", True, "8", None)
+    assert r.text == 'two\nlines, quoted "q"' and r.created_at.endswith("2017")
+    with pytest.raises(Exception):
+        IO.read_messages_csv(spark, path, "no_such_column").collect()
+
+
+def test_label_log_over_partitions(spark, scratch):
+    path = os.path.join(scratch, "log3")
+    rows = [(str(i % 7), i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "tweet_id string, pos long").repartition(4)
+    IO.append_label_log(df, path, batch=5, position="pos")
+    IO.append_label_log(df.filter("pos < 7").withColumn("pos", F.lit(-1).cast("long")).limit(1), path, batch=4, position="pos")
+    got = {r.tweet_id: r.pos for r in IO.read_label_log(spark, path, "tweet_id").collect()}
+    assert got == {str(k): max(i for i in range(4000) if i % 7 == k) for k in range(7)}
+    IO.append_label_log(df, os.path.join(scratch, "log4"), batch=1)
+    log = spark.read.json(os.path.join(scratch, "log4"))
+    assert log.select("seq").distinct().count() == 4000
