@@ -86,21 +86,25 @@ def topk_dense(queries: DataFrame, pool: DataFrame, k: int, id_col: str = "id",
 
 # V5 ---------------------------------------------------------------------------
 def calibrate(pool: DataFrame, id_col: str, vec_col: str, n_pairs: int = 20000, pctile: float = 0.95,
-              seed: int = 0) -> DataFrame:
+              seed: int = 0, key_col: str | None = None) -> DataFrame:
     """Threshold = exact ``pctile`` (linear interpolation) and mean of random-pair
-    cosine within the pool. Pair i joins the i-th row of two independent md5 orders;
-    self pairs are dropped. Both sides are bounded top-n draws."""
+    cosine within the pool, or within each pool of ``key_col``. Pair i joins the i-th row of
+    two independent md5 orders; self pairs are dropped. Both sides are top-n draws of at most
+    ``n_pairs`` rows a pool."""
+    keys = [F.col(key_col).alias("_key")] if key_col else [F.lit(0).alias("_key")]
+
     def side(tag):
-        o = pool.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_v"),
+        o = pool.select(*keys, F.col(id_col).alias("_id"), F.col(vec_col).alias("_v"),
                         F.md5(F.concat(F.lit(f"{seed}:{tag}:"), F.col(id_col).cast("string"))).alias("_o"))
-        top = o.orderBy("_o", "_id").limit(n_pairs)
-        return top.withColumn("_i", F.row_number().over(Window.orderBy("_o", "_id")))
-    a = side("a").select(F.col("_i"), F.col("_id").alias("a_id"), F.col("_v").alias("a_v"))
-    b = side("b").select(F.col("_i"), F.col("_id").alias("b_id"), F.col("_v").alias("b_v"))
-    pairs = a.join(b, "_i").filter(F.col("a_id") != F.col("b_id"))
-    s = pairs.select(cosine("a_v", "b_v").alias("s"))
-    return s.agg(F.percentile("s", pctile).alias("tau"), F.avg("s").alias("mean_sim"),
-                 F.count(F.lit(1)).alias("n_pairs"))
+        i = F.row_number().over(Window.partitionBy("_key").orderBy("_o", "_id"))
+        return o.withColumn("_i", i).filter(F.col("_i") <= n_pairs)
+    a = side("a").select("_key", F.col("_i"), F.col("_id").alias("a_id"), F.col("_v").alias("a_v"))
+    b = side("b").select("_key", F.col("_i"), F.col("_id").alias("b_id"), F.col("_v").alias("b_v"))
+    pairs = a.join(b, ["_key", "_i"]).filter(F.col("a_id") != F.col("b_id"))
+    s = pairs.select("_key", cosine("a_v", "b_v").alias("s"))
+    g = s.groupBy("_key") if key_col else s
+    out = g.agg(F.percentile("s", pctile).alias("tau"), F.avg("s").alias("mean_sim"), F.count(F.lit(1)).alias("n_pairs"))
+    return out.withColumnRenamed("_key", key_col) if key_col else out
 
 
 # V8 ---------------------------------------------------------------------------

@@ -225,3 +225,14 @@ def v4_keyed_dense_topk(spark, d):
     e = emb(spark, d)
     t = V.topk_dense(e, e, 3, "id", "vec", key_col="cls")
     return t.select("q_id", "n_id", F.round("cos", 6).alias("cos"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("v5_calibrate_keyed", """
+with a as (select label, vec_id as a_id, embedding as a_v, row_number() over (partition by label order by md5('0:a:' || vec_id::varchar), vec_id) as i from embeddings),
+b as (select label, vec_id as b_id, embedding as b_v, row_number() over (partition by label order by md5('0:b:' || vec_id::varchar), vec_id) as i from embeddings),
+s as (select a.label, list_dot_product(a_v::double[], b_v::double[]) / (sqrt(list_dot_product(a_v::double[], a_v::double[])) * sqrt(list_dot_product(b_v::double[], b_v::double[]))) as s
+  from a join b on a.label = b.label and a.i = b.i where a_id <> b_id and a.i <= 20000)
+select label, round(quantile_cont(s, 0.95), 6) as tau, round(avg(s), 6) as mean_sim, count(*)::bigint as n_pairs from s group by label""")
+def v5_calibrate_keyed(spark, d):
+    c = V.calibrate(tb(spark, d, "embeddings"), "vec_id", "embedding", P.RANDOM_PAIRS, P.TAU_PCTILE, 0, key_col="label")
+    return c.select("label", F.round("tau", 6).alias("tau"), F.round("mean_sim", 6).alias("mean_sim"), "n_pairs")
