@@ -36,6 +36,7 @@ MESSAGES = [
     "please book an appointment for my phone at the store today",
     "I want a refund for what I never bought and my account is locked out",
     "my keyboard turns every i into a question mark since the update",
+    "the battery drains so fast since the update, what can I do",
     "so it is",
 ]
 REPLIES = [
