@@ -145,10 +145,17 @@ def rater_agreement(df: DataFrame, a: str, b: str, weights: str = "index") -> Da
 
 
 # E8 ---------------------------------------------------------------------------
-def concordance(df: DataFrame, first: str, second: str, by: str) -> DataFrame:
-    """Agreement of two labelings per group and overall (rollup row with null key)."""
-    return df.rollup(by).agg(F.count(F.lit(1)).alias("n"),
-                             F.round(F.avg((F.col(first) == F.col(second)).cast("int")), 6).alias("agree"))
+def concordance(df: DataFrame, first: str, second: str, by: str | Sequence[str]) -> DataFrame:
+    """Agreement of two labelings per group, per prefix of the groups, and overall (rollup
+    rows with null keys)."""
+    by = [by] if isinstance(by, str) else list(by)
+    return df.rollup(*by).agg(F.count(F.lit(1)).alias("n"),
+                              F.round(F.avg((F.col(first) == F.col(second)).cast("int")), 6).alias("agree"))
+
+
+def disagreements(df: DataFrame, first: str, second: str) -> DataFrame:
+    """The rows on which two labelings differ, a missing label counting as one."""
+    return df.filter(~F.col(first).eqNullSafe(F.col(second)))
 
 
 # E9 ---------------------------------------------------------------------------

@@ -7,7 +7,7 @@ joined by broadcast (its size is the number of classes).
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +83,15 @@ def summarize(hits: DataFrame, policy: DataFrame, cls: str = "q_class") -> DataF
     ).withColumn("gap_pp", F.round(F.col("new_hit_pct") - F.col("old_hit_pct"), 6))
 
 
+def summarize_groups(hits: DataFrame, policy: DataFrame, cls: str = "q_class") -> DataFrame:
+    """Old vs gated hit@k per policy group, and over all queries (null group)."""
+    pol = F.broadcast(policy.select(F.col("cls").alias(cls), "policy"))
+    return hits.join(pol, cls, "left").rollup("policy").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(100 * F.avg(F.col("old_hit").cast("int")), 6).alias("old_hit_pct"),
+        F.round(100 * F.avg(F.col("new_hit").cast("int")), 6).alias("new_hit_pct"))
+
+
 # G4 ---------------------------------------------------------------------------
 def retrieval_metrics(c: DataFrame, q_id: str = "q_id") -> DataFrame:
     per_q = c.groupBy(q_id).agg(F.bool_or("usable").alias("_hit"),
@@ -95,6 +104,21 @@ def retrieval_metrics(c: DataFrame, q_id: str = "q_id") -> DataFrame:
                      F.round(F.avg("_nu"), 6).alias("mean_usable"))
 
 
+def fail_by_rank(c: DataFrame) -> DataFrame:
+    """Share of candidates that fail the gates, by rank."""
+    return c.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((~F.col("usable")).cast("int")), 6).alias("fail_rate"))
+
+
+# P4 ---------------------------------------------------------------------------
+def label_neighbours(c: DataFrame, labeler: Callable[[DataFrame], DataFrame] | None = None,
+                     log: DataFrame | None = None, label: str = "label") -> DataFrame:
+    """Candidates with a ``label`` for each neighbour. A labeler is any function from the
+    distinct neighbours ``(n_id)`` to ``(n_id, label)``; the default joins a label log."""
+    asked = c.select("n_id").distinct()
+    got = labeler(asked) if labeler is not None else asked.join(log.select("n_id", label), "n_id")
+    return c.join(got.select("n_id", F.col(label).alias("label")), "n_id", "left")
+
+
 # G5 / T3 ----------------------------------------------------------------------
 def pick_grounding(c: DataFrame, q_id: str = "q_id") -> DataFrame:
     """Best gated candidate per query (highest gated score, lowest rank on ties) among

@@ -118,6 +118,13 @@ def centroids(df: DataFrame, key: str, vec_col: str) -> DataFrame:
         .select(key, F.transform("_s", lambda s: s["_m"]).alias("centroid"))
 
 
+def describe_clusters(df: DataFrame, key: str, vec_col: str) -> DataFrame:
+    """Centroid, size and share of all rows per cluster."""
+    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
+    total = n.agg(F.sum("size")).scalar()
+    return centroids(df, key, vec_col).join(n, key).withColumn("share", F.round(F.col("size") / total, 6))
+
+
 def nearest_to_centroid(df: DataFrame, key: str, id_col: str, vec_col: str, n: int = 10) -> DataFrame:
     """Members closest to their key's centroid by true cosine (T5)."""
     c = centroids(df, key, vec_col)

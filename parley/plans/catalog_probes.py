@@ -7,6 +7,8 @@ production ones, and each query has its DuckDB twin.
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -15,11 +17,13 @@ from ..functions import text as T
 from ..operators import aggregates as A
 from ..operators import evaluate as E
 from ..operators import routing as RO
-from .catalog import register, tb
+from ..session import checkpoint_dir
+from . import jobs
+from .catalog import SQL_MSGS, msgs, register, tb
 from .catalog_more import SQL_DECISIONS, _sql_map
-from .catalog_rules import (sql_label_intent, sql_looks_non_english, sql_oos_kind, sql_overrides, sql_real_words,
+from .catalog_rules import (SQL_PRED, lang_predictions, sql_label_intent, sql_looks_non_english, sql_oos_kind, sql_overrides, sql_real_words,
                             sql_resolution_type, sql_resolve, sql_unsupported)
-from .sqlre import arr, q, rmatch
+from .sqlre import arr, collapse, q, rmatch, strip
 
 MESSAGES = [
     "how can I downgrade to the old one",
@@ -205,3 +209,49 @@ def f1_text_flag(spark, d):
     said = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("  "), F.initcap(yes), F.lit(" "))).when(
         F.col("doc_id") % 4 == 1, F.upper(yes)).when(F.col("doc_id") % 4 == 2, yes)
     return tb(spark, d, "labels").select("doc_id", T.text_flag(said).alias("flag"))
+
+
+# The corpus job over the reply graph of the conversations. Customers there mention nobody, so
+# each message gets a numeric alias of the brand, another user and the brand's handle, and a
+# date around the incident.
+ALIAS, OTHER, BRAND = "115858", "Helper9", "assistant"
+_RAW = f"""(select *, case when inbound then '@{ALIAS}  ' || text || ' cc @{OTHER} and @{BRAND}' else '@{OTHER} ' || text end as said,
+  timestamp '2017-10-28 12:00:00' + to_days((conv_id % 20)::integer) as created_at from {SQL_MSGS} m)"""
+
+
+def _sql_anon(e):
+    named = f"replace(replace({e}, '@{ALIAS}', '@' || chr(1)), '@{BRAND}', '@' || chr(1))"
+    return strip(collapse(f"replace(regexp_replace({named}, '@[\\p{{L}}\\p{{N}}_]+', '@USER', 'g'), '@' || chr(1), '@BRAND')"))
+
+
+@register("corpus_job", f"""
+with m as {_RAW},
+p as (select r.tweet_id, {_sql_anon('o.said')} as customer_text, {_sql_anon('r.said')} as brand_text, o.created_at
+  from m r join m o on r.in_response_to_tweet_id = o.tweet_id and o.response_tweet_id = r.tweet_id
+  where not r.inbound and r.author_id = '{BRAND}' and r.response_tweet_id is null and o.inbound and o.in_response_to_tweet_id is null)
+select tweet_id, md5(customer_text) as customer_md5, md5(brand_text) as brand_md5, {sql_resolution_type('brand_text')} as res_type,
+  {rmatch('customer_text', P.BUG)} as bug_kw, created_at::date between date '{P.INCIDENT_WINDOW[0]}' and date '{P.INCIDENT_WINDOW[1]}' as in_window,
+  case when {rmatch('customer_text', P.BUG)} or created_at::date between date '{P.INCIDENT_WINDOW[0]}' and date '{P.INCIDENT_WINDOW[1]}' then '{P.INCIDENT_TAG}' end as incident_window
+from p""")
+def corpus_job(spark, d):
+    m = msgs(spark, d)
+    said = F.when(F.col("inbound"), F.concat(F.lit(f"@{ALIAS}  "), "text", F.lit(f" cc @{OTHER} and @{BRAND}"))).otherwise(
+        F.concat(F.lit(f"@{OTHER} "), "text"))
+    day = F.date_add(F.lit("2017-10-28").cast("date"), (F.col("conv_id") % 20).cast("int"))
+    m = m.withColumn("text", said).withColumn("created_at", day.cast("timestamp") + F.expr("interval 12 hours"))
+    out = jobs.corpus_job(spark, m, BRAND, f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}")
+    return out.select("tweet_id", F.md5("customer_text").alias("customer_md5"), F.md5("brand_text").alias("brand_md5"),
+                      "res_type", "bug_kw", "in_window", "incident_window")
+
+
+@register("e8_second_pass_pairs", f"""
+with p as {SQL_PRED}
+select source, truth, count(*)::bigint as n, round(avg((truth = pred)::int), 6) as agree from p group by rollup(source, truth)""")
+def e8_second_pass_pairs(spark, d):
+    """Agreement per sub-stratum and class, per sub-stratum, and overall."""
+    return E.concordance(lang_predictions(spark, d), "truth", "pred", ["source", "truth"])
+
+
+@register("e8_disagreements", f"with p as {SQL_PRED} select doc_id, truth, pred from p where truth <> pred")
+def e8_disagreements(spark, d):
+    return E.disagreements(lang_predictions(spark, d), "truth", "pred").select("doc_id", "truth", "pred")

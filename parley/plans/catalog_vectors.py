@@ -236,3 +236,38 @@ select label, round(quantile_cont(s, 0.95), 6) as tau, round(avg(s), 6) as mean_
 def v5_calibrate_keyed(spark, d):
     c = V.calibrate(tb(spark, d, "embeddings"), "vec_id", "embedding", P.RANDOM_PAIRS, P.TAU_PCTILE, 0, key_col="label")
     return c.select("label", F.round("tau", 6).alias("tau"), F.round("mean_sim", 6).alias("mean_sim"), "n_pairs")
+
+
+@register("v8_cluster_description", """
+select label, count(*)::bigint as size, round(count(*) / (select count(*) from embeddings), 6) as share,
+  round(avg(embedding[1]::double), 6) as first_component from embeddings group by label""")
+def v8_cluster_description(spark, d):
+    c = V.describe_clusters(tb(spark, d, "embeddings"), "label", "embedding")
+    return c.select("label", "size", "share", F.round(F.element_at("centroid", 1), 6).alias("first_component"))
+
+
+@register("g3_group_summary", f"""
+with h as (select q_id, bool_or(g1_lexical) as old_hit, bool_or({SQL_USABLE}) as new_hit from {SQL_GATED} g group by 1),
+x as (select pol.policy, coalesce(h.old_hit, false) as old_hit, coalesce(h.new_hit, false) as new_hit
+  from embeddings e left join h on e.vec_id = h.q_id left join {_policy_sql()} pol on 'c' || e.label::varchar = pol.cls)
+select policy, count(*)::bigint as n, round(100 * avg(old_hit::int), 6) as old_hit_pct, round(100 * avg(new_hit::int), 6) as new_hit_pct
+from x group by rollup(policy)""")
+def g3_group_summary(spark, d):
+    queries = emb(spark, d).select(F.col("id").alias("q_id"), F.col("cls").alias("q_class"))
+    hits = RT.hit_table(gated_embeddings(spark, d).drop("q_class"), queries)
+    return RT.summarize_groups(hits, RT.policy_table(spark, EMB_POLICY))
+
+
+@register("g4_fail_by_rank", f"""
+select rank::bigint as rank, count(*)::bigint as n, round(avg((not {SQL_USABLE})::int), 6) as fail_rate from {SQL_GATED} g group by 1""")
+def g4_fail_by_rank(spark, d):
+    return RT.fail_by_rank(gated_embeddings(spark, d)).select(F.col("rank").cast("bigint").alias("rank"), "n", "fail_rate")
+
+
+@register("p4_default_labeler", f"""
+select t.q_id, t.n_id, case when e.label < 5 then 'c' || e.label::varchar end as label from {SQL_TOPK} t join embeddings e on t.n_id = e.vec_id""")
+def p4_default_labeler(spark, d):
+    """Neighbours labelled from a log that knows half of the classes."""
+    e = emb(spark, d)
+    log = e.filter(F.col("cls") < "c5").select(F.col("id").alias("n_id"), F.col("cls").alias("label"))
+    return RT.label_neighbours(V.topk_dense(e, e, 5, "id", "vec"), log=log).select("q_id", "n_id", "label")
