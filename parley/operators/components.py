@@ -4,15 +4,15 @@ Alternating large-star and small-star steps hook every node to the least neighbo
 until each component is one star around its least node. A chain of n nodes takes about
 log(n) rounds, a star takes one. Only end points of edges take part; isolated nodes are for
 the caller to add. Every round is a group-by and a join on the node, both of which combine
-or split hot nodes, and ends in ``checkpoint()``, so lineage stays short and lost executors
-cost one round.
+or split hot nodes, and ends in a table in the shared folder, so lineage stays short and a
+lost executor costs one round.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import keep
 
 #: Far beyond what contraction needs for any graph that fits on disk; reaching it is a bug.
 MAX_ROUNDS = 200
@@ -22,9 +22,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, component) for every end point of ``edges``; component is the least node that
     can be reached. Null ends and loops are ignored; an empty table gives no row. Runs until
     a round changes nothing and raises if that never happens."""
-    ensure_checkpoint_dir(edges.sparkSession)
-    e = (edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().checkpoint())
+    e = keep(edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     state = _state(e)
     for _ in range(MAX_ROUNDS):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -32,7 +31,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         hub = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(hub, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = small.unionByName(hub.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        e = keep(small.unionByName(hub.select("u", F.col("m").alias("v"))).distinct())
         before, state = state, _state(e)
         if state == before:
             roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
