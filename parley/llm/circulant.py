@@ -7,13 +7,16 @@ universe of 2 ** 32. ``BANDS`` bands of ``ROWS`` coordinates name the buckets in
 documents meet. A pair at the threshold misses all buckets with probability
 (1 - 0.85 ** 4) ** 16 = 8e-6, more similar ones far less.
 
-Documents with equal sets are one class from the start. Inside a bucket every member is
-checked against the bucket's hub; links join into components; what is left are buckets that
-still hold several components, and there every member outside the largest component is
-checked against all members of the others. Members of one component need no further check,
-so a bucket of thousands of copies costs one check each, yet no link between components is
-lost. A check compares the full shingle sets of both texts, in salted groups of one hub and
-up to ``GROUP`` members.
+Documents with equal sets are one class from the start. Links join into components, and
+members of one component need no further check. So each class is checked against one hub
+first, the least of those of its buckets. In buckets that still hold several components,
+members are then checked against a few neighbours in a random order, in cells of bounded
+size, as long as that finds links; last, all members of different components are checked,
+block by block of two cells, each pair in the first bucket it shares. A bucket of thousands of
+copies costs a few checks each, yet no link between components is lost. Pairs whose sizes rule the threshold out are not checked, nor, after
+the first hub, those whose signatures agree in fewer than ``AGREE`` of the 64 coordinates,
+which a pair at the threshold does with probability 2e-7. A check compares the full shingle
+sets of both texts, in salted groups of one hub and up to ``GROUP`` members.
 
 Nulls: a null text is empty; documents without words have an empty set and link with
 nothing. With fewer than five words the whole sequence is the only shingle. A null doc_id
@@ -25,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -33,8 +36,12 @@ from .common import GOLD, IS_SPACE, NULL_ID, TO_LOWER, U, Rolling, batches_of_ro
 
 SHINGLE, THRESHOLD = 5, 85  # words; percent of the union that the intersection must reach
 BANDS, ROWS, GROUP = 16, 4, 256
+AGREE = 38  # of BANDS * ROWS coordinates
+#: Neighbours looked at per member, members of one cell, rounds at most, and the share of
+#: checks (one in RETURN) that must find a link for another round. They order the work only.
+LOOK, CELL, MAX_TURNS, RETURN = 8, 512, 6, 50
 TASK_ROWS = 1500
-SIGNED = "rk long, doc_id long, n long, s1 long, s2 long, bands array<long>"
+SIGNED = "rk long, doc_id long, n long, s1 long, s2 long, bands array<long>, sig array<long>"
 
 
 def shingles(data: np.ndarray, off: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +85,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def signatures(rows: DataFrame, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
-    """(rk, doc_id, n, s1, s2, bands): set size, two names of the whole set, band names."""
+    """(rk, doc_id, n, s1, s2, bands, sig): set size, two names of the whole set, band names,
+    and the low bytes of all coordinates, eight to a number."""
 
     def sign(batches):
         for batch in batches:
@@ -86,6 +94,7 @@ def signatures(rows: DataFrame, bands: int = BANDS, per_band: int = ROWS) -> Dat
             size = np.zeros(batch.num_rows, np.int64)
             sums = np.zeros((2, batch.num_rows), U)
             band = np.zeros((batch.num_rows, bands), U)
+            low = np.zeros((batch.num_rows, bands * per_band), np.uint8)
             for a, b in batches_of_rows(off, 1 << 20):
                 x, at = shingles(data[off[a]:off[b]], off[a:b + 1] - off[a])
                 some = np.flatnonzero(np.diff(at)) if len(at) > 1 else np.zeros(0, np.int64)
@@ -96,19 +105,28 @@ def signatures(rows: DataFrame, bands: int = BANDS, per_band: int = ROWS) -> Dat
                     size[a + i] = len(s)
                     sums[0, a + i], sums[1, a + i] = mix64(s ^ GOLD).sum(), mix64(s * GOLD).sum()
                 h = circulant_minima(x, at[some], bands * per_band).astype(U)
+                low[a + some] = (h & U(255)).astype(np.uint8).T
                 for j in range(bands):
                     name = np.full(len(some), j, U)
                     for k in range(j * per_band, (j + 1) * per_band):
                         name = mix64(name * GOLD + h[k])
                     band[a + some, j] = name
+            lists = [pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), m.reshape(-1))
+                     for m in (band.view(np.int64), low.view(np.int64))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rk"), batch.column("doc_id"), pa.array(size), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
-                 pa.ListArray.from_arrays(np.arange(0, bands * batch.num_rows + 1, bands, dtype=np.int32), band.view(np.int64).reshape(-1))],
-                names=["rk", "doc_id", "n", "s1", "s2", "bands"])
+                [batch.column("rk"), batch.column("doc_id"), pa.array(size), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), *lists],
+                names=["rk", "doc_id", "n", "s1", "s2", "bands", "sig"])
 
     return rows.mapInArrow(sign, SIGNED)
 
 
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def _check(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose full sets are similar enough."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts"))
@@ -116,7 +134,7 @@ def _check(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     hub = salts.select(F.col("a").alias("rk"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     seats = store(member.unionByName(hub), "seats")
     groups = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-seats.count() // TASK_ROWS))
-    texts = rows.select("rk", "text").join(seats, "rk").groupBy("rk", "hub", "salt").agg(F.first("text").alias("text"))
+    texts = rows.select("rk", "text").join(seats.hint("merge"), "rk").groupBy("rk", "hub", "salt").agg(F.first("text").alias("text"))
     seated = texts.withColumn("g", F.pmod(F.xxhash64("hub", "salt"), F.lit(groups)).cast("int"))
 
     def check(t: pa.Table) -> pa.Table:
@@ -136,10 +154,7 @@ def _check(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             s = sets[own[0]]
             for k in range(i, j):
                 if rk[k] != hub[i]:
-                    small, large = (sets[k], s) if len(sets[k]) <= len(s) else (s, sets[k])
-                    at = np.searchsorted(large, small)
-                    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                    if 100 * both >= percent * (len(s) + len(sets[k]) - both):
+                    if _linked(s, sets[k], percent):
                         out[0].append(int(hub[i])), out[1].append(int(rk[k]))
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
@@ -150,34 +165,153 @@ def _similar_size(x: str, y: str, percent: int):
     return F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
 
 
+def _agree(x: str, y: str, coordinates: int = BANDS * ROWS):
+    """Whether two signatures agree in enough coordinates: bytes that differ, folded to one
+    bit each and counted."""
+    different = F.lit(0)
+    for i in range(coordinates // 8):
+        d = F.col(x)[i].bitwiseXOR(F.col(y)[i])
+        for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
+            d = d.bitwiseOR(F.shiftrightunsigned(d, shift)).bitwiseAND(F.lit(mask))
+        different = different + F.bit_count(d)
+    return different <= coordinates - AGREE
+
+
+def _mates(band, cell, two, part, n, bands, sig, percent):
+    """Pairs (i, j) of one block's members that need a check: of different components, of
+    similar size and signature, and in the first bucket that both share."""
+    out = []
+    for i in range(0, len(n), 64):
+        r = slice(i, min(len(n), i + 64))
+        ok = part[r, None] != part[None]
+        ok &= 100 * np.minimum(n[r, None], n[None]) >= percent * np.maximum(n[r, None], n[None])
+        # a block of two cells holds the pairs between them, a block of one those inside
+        ok &= (cell[r, None] != cell[None]) if two else (cell[r, None] == cell[None])
+        ok &= np.arange(len(n))[r, None] < np.arange(len(n))[None]
+        x, y = np.nonzero(ok)
+        x += i
+        good = (sig[x] == sig[y]).sum(axis=1) >= AGREE
+        x, y = x[good], y[good]
+        good = (bands[x] == bands[y]).argmax(axis=1) == band
+        out.append((x[good], y[good]))
+    return [np.concatenate(v) for v in zip(*out)]
+
+
+def _check_cells(texts: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Links between all members of one bucket and different components. Buckets are cut into
+    cells of about ``CELL`` members; each two cells are a block, whose pairs are found from
+    the signatures in one task and travel as one list per member, not as rows."""
+    cells = F.ceil(F.col("size") / CELL).cast("int")
+    own = placed.withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("rk", F.lit(-1)), F.col("cells")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))) \
+        .withColumn("block", F.xxhash64("bucket", F.least("cell", "other"), F.greatest("cell", "other"))) \
+        .select("block", "band", "cell", (F.col("cell") != F.col("other")).cast("int").alias("two"), "rk", "part", "n", "bands", "sig")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def find(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("block", "ascending"), ("rk", "ascending")])
+        col = {c: t.column(c).to_numpy() for c in ("block", "band", "cell", "two", "rk", "part", "n")}
+        lists = {c: t.column(c).combine_chunks().flatten().to_numpy().reshape(len(t), -1) for c in ("bands", "sig")}
+        low = np.ascontiguousarray(lists["sig"]).view(np.uint8)
+        cut = (np.flatnonzero(np.diff(col["block"])) + 1).tolist() if len(t) else []
+        out = ([], [], [])
+        for i, j in zip([0, *cut], [*cut, len(t)]):
+            r = slice(i, j)
+            if j - i < 2:
+                continue
+            x, y = _mates(col["band"][i], col["cell"][r], col["two"][i], col["part"][r], col["n"][r], lists["bands"][r], low[r], percent)
+            if not len(x):
+                continue
+            rk = col["rk"][r]
+            for k in np.union1d(x, y).tolist():
+                out[0].append(int(col["block"][i])), out[1].append(int(rk[k])), out[2].append(rk[y[x == k]].tobytes())
+        return pa.table({"block": pa.array(out[0], pa.int64()), "rk": pa.array(out[1], pa.int64()), "mates": pa.array(out[2], pa.binary())})
+
+    schema = "block long, rk long, mates binary"
+    found = dealt.withColumn("g", F.pmod("block", F.lit(8 * parts)).cast("int")).groupBy("g").applyInArrow(lambda t: find(t), schema)
+    seats = store(found, "seats")
+    groups = max(parts, -(-seats.count() // TASK_ROWS))
+    seated = texts.select("rk", "text").join(seats.hint("merge"), "rk").groupBy("rk", "block").agg(F.first("text").alias("text"), F.first("mates").alias("mates"))
+
+    def check(t: pa.Table) -> pa.Table:
+        rk, block = t.column("rk").to_numpy(), t.column("block").to_numpy()
+        data, off = text_buffer(t.column("text"))
+        sets: dict = {}
+        for a, b in batches_of_rows(off, 1 << 20):
+            x, at = shingles(data[off[a]:off[b]], off[a:b + 1] - off[a])
+            for i in range(a, b):
+                if rk[i] not in sets:  # a member of several blocks
+                    sets[rk[i]] = np.unique(x[at[i - a]:at[i - a + 1]])
+        out = ([], [])
+        for a, mates in zip(rk.tolist(), t.column("mates").to_pylist()):
+            for b in np.frombuffer(mates, np.int64).tolist():
+                if _linked(sets[a], sets[b], percent):
+                    out[0].append(a), out[1].append(b)
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    seated = seated.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+    return store(seated.groupBy("g").applyInArrow(lambda t: check(t), "a long, b long"), "links")
+
+
+def _joined(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components of ``parts`` and ``links`` together."""
+    if parts is not None:
+        links = links.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return connected_components(links)
+
+
+def _open(seats: DataFrame, parts: DataFrame) -> DataFrame:
+    """``seats`` with the component of each member (``part``), in buckets that hold several,
+    and the bucket's size."""
+    placed = seats.join(parts.select(F.col("node").alias("rk"), F.col("component").alias("part")), "rk", "left").withColumn("part", F.coalesce("part", "rk"))
+    several = placed.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y")
+    return placed.join(several.select("bucket", "size"), "bucket")
+
+
 def _groups(docs: DataFrame, percent: int) -> DataFrame:
     """(rk, doc_id, n, component_id, best): best is the row key of the component's first row."""
     rows = _rows(docs)
     signed = store(signatures(rows), "signed")
     order = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), F.col("rk").alias("rk"))
     same = ["n", "s1", "s2"]
-    classes = store(signed.filter("n > 0").groupBy(*same).agg(F.min(order).alias("first"), F.first("bands").alias("bands")).select(
-        *same, F.col("first.rk").alias("rk"), F.col("first.doc").alias("doc"), "bands"), "classes")
-    seen = classes.select("rk", "n", F.posexplode("bands").alias("band", "name")).select(F.xxhash64("band", "name").alias("bucket"), "rk", "n")
+    classes = store(signed.filter("n > 0").groupBy(*same).agg(
+        F.min(order).alias("first"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).select(
+        *same, F.col("first.rk").alias("rk"), F.col("first.doc").alias("doc"), "bands", "sig"), "classes")
+    seen = classes.select("rk", "n", F.posexplode("bands").alias("band", "name")).select(
+        F.xxhash64("band", "name").alias("bucket"), "band", "rk", "n")
     hubs = seen.groupBy("bucket").agg(F.min(F.struct("rk", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = store(seen.join(hubs.select("bucket", "hub"), "bucket"), "members")
-    pairs = members.filter((F.col("rk") != F.col("hub.rk")) & _similar_size("n", "hub.n", percent)).select(
-        F.col("hub.rk").alias("a"), F.col("rk").alias("b")).distinct()
-    links = _check(rows, store(pairs, "pairs"), percent)
-    parts = connected_components(links)
-
-    # buckets that still hold several components
-    placed = members.join(parts.withColumnRenamed("node", "rk"), "rk", "left").select("bucket", "rk", "n", F.coalesce("component", "rk").alias("part"))
-    open_ = placed.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("bucket")
-    placed = store(placed.join(open_, "bucket"), "open")
-    main = placed.groupBy("bucket", "part").count().groupBy("bucket").agg(F.max(F.struct("count", "part")).alias("m")).select("bucket", F.col("m.part").alias("main"))
-    placed = placed.join(main, "bucket")
-    outside = placed.filter(F.col("part") != F.col("main")).select("bucket", F.col("rk").alias("a"), F.col("n").alias("an"), F.col("part").alias("apart"))
-    rest = outside.join(placed, "bucket").filter(
-        (F.col("part") != F.col("apart")) & ((F.col("part") == F.col("main")) | (F.col("a") < F.col("rk"))) & _similar_size("n", "an", percent)).select(
-        "a", F.col("rk").alias("b")).distinct()
-    links = links.unionByName(_check(rows, store(rest, "rest"), percent))
-    parts = connected_components(links)
+    beside = members.filter((F.col("rk") != F.col("hub.rk")) & _similar_size("n", "hub.n", percent)).select(F.col("hub.rk").alias("a"), F.col("rk").alias("b"))
+
+    # one hub for each class
+    pairs = beside.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    parts = _joined(None, _check(rows, store(pairs, "pairs"), percent))
+
+    # buckets that still hold several components, and the texts of their members
+    seats = members.select("bucket", "band", "rk", "n")
+    placed = _open(seats, parts).join(classes.select("rk", "bands", "sig"), "rk")
+    placed = store(placed, "open")
+    texts = store(rows.join(placed.select("rk").distinct().hint("merge"), "rk", "left_semi"), "texts")
+
+    # neighbours in a random order of each bucket's members, while that finds links
+    for turn in range(MAX_TURNS):
+        cell = [F.col("bucket"), F.pmod(F.xxhash64("rk", F.lit(2 * turn)), F.ceil(F.col("size") / CELL))]
+        near = Window.partitionBy(*cell).orderBy(F.xxhash64("rk", F.lit(2 * turn + 1)))
+        other = F.struct(F.col("rk").alias("a"), F.col("part").alias("a_part"), F.col("n").alias("a_n"), F.col("sig").alias("a_sig"))
+        looked = placed.select("rk", "part", "n", "sig", F.array(*[F.lag(other, i).over(near) for i in range(1, LOOK + 1)]).alias("o"))
+        pairs = looked.withColumn("o", F.explode(F.filter("o", lambda x: x.isNotNull()))).select("rk", "part", "n", "sig", "o.*")
+        pairs = pairs.filter((F.col("part") != F.col("a_part")) & _similar_size("n", "a_n", percent) & _agree("sig", "a_sig")) \
+            .select(F.least("a", "rk").alias("a"), F.greatest("a", "rk").alias("b")).distinct()
+        pairs = store(pairs, "pairs")
+        links = _check(texts, pairs, percent)
+        asked, found = pairs.count(), links.count()
+        if found:
+            parts = _joined(parts, links)
+            placed = store(_open(placed.select("bucket", "band", "rk", "n", "bands", "sig"), parts), "open")
+        if found * RETURN <= asked:
+            break
+
+    parts = _joined(parts, _check_cells(texts, placed, percent))
 
     named = classes.select(*same, "rk", "doc").join(parts.withColumnRenamed("node", "rk"), "rk", "left").withColumn("part", F.coalesce("component", "rk"))
     first = named.groupBy("part").agg(F.min(F.struct("doc", "rk")).alias("best"))
@@ -202,4 +336,4 @@ def keep_one(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     while key in docs.columns:
         key += "_"
     kept = g.filter(F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("rk") == F.col("best"))).select(F.col("rk").alias(key)).distinct()
-    return docs.withColumn(key, _row_key()).join(kept, key, "left_semi").drop(key)
+    return docs.withColumn(key, _row_key()).join(kept.hint("merge"), key, "left_semi").drop(key)

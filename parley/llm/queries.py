@@ -114,8 +114,8 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM sh a JOIN sh
 l AS (
   SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
-walk(node, at) AS (SELECT doc_id, doc_id FROM documents UNION SELECT walk.node, e.b FROM walk JOIN e ON walk.at = e.a),
-c AS (SELECT node, min(at) AS component_id FROM walk GROUP BY node)
+walk(node, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT walk.node, e.b FROM walk JOIN e ON walk.reached = e.a),
+c AS (SELECT node, min(reached) AS component_id FROM walk GROUP BY node)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN c ON c.node = d.doc_id""",
     "op2_exact_topk": """
