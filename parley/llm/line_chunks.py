@@ -122,7 +122,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     shared = listed.groupBy("name").agg(F.min(place).alias("least"), F.max(place).alias("most")).filter("least <> most").select("name", "least")
     wanted = store(listed.distinct().join(shared, "name").groupBy("rk").agg(F.collect_list(
         F.struct("at", "name", (place == F.col("least")).alias("first"))).alias("wanted")), "wanted")
-    fetched = store(rows.select("rk", "text").join(wanted, "rk").groupBy("rk").agg(
+    fetched = store(rows.select("rk", "text").join(wanted.hint("merge"), "rk").groupBy("rk").agg(
         F.first("text").alias("text"), F.first("wanted").alias("wanted")).mapInArrow(
         _fetch, "name long, rk long, at int, first boolean, bytes binary"), "chunk-bytes")
     first = fetched.filter("first").select("name", F.col("bytes").alias("_bytes"))
@@ -157,7 +157,7 @@ def _kept(texts, gone):
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_lines, n_removed) of every row: the text without repeated chunks."""
-    rows = _rows(docs).select("rk", "doc_id", "text").join(repeated_chunks(docs), "rk", "left").select("doc_id", "text", "gone")
+    rows = _rows(docs).select("rk", "doc_id", "text").join(repeated_chunks(docs).hint("merge"), "rk", "left").select("doc_id", "text", "gone")
 
     def cut(batches):
         for batch in batches:
@@ -175,7 +175,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     while key in docs.columns or gone in docs.columns:
         key, gone = key + "_", gone + "_"
     cuts = repeated_chunks(docs).select(F.col("rk").alias(key), F.col("gone").alias(gone))
-    joined = docs.withColumn(key, _row_key()).join(cuts, key, "left").drop(key)
+    joined = docs.withColumn(key, _row_key()).join(cuts.hint("merge"), key, "left").drop(key)
     at = docs.columns.index("text")
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
