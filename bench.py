@@ -12,7 +12,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
-    "g9_decision_summary",      # flagship: threads -> rules -> pools -> TF-IDF top-k -> gates -> route -> decide
+    "g9_decision_summary",      # flagship: every message: threads -> rules -> clusters -> pools -> TF-IDF top-k -> gates -> route -> decide
     "j1_strict_threads",
     "r1_resolution_type",
     "r3_first_pass_intent",
@@ -27,6 +27,8 @@ HEADLINE = [
     "e5_e6_prevalence",
     "v6_near_dup_pairs",
     "v6_components",
+    "corpus_job",
+    "v9_text_classifier",       # the slowest query of the catalog
 ]
 
 

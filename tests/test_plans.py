@@ -1,6 +1,7 @@
 """Plan-shape checks: the scale properties the operators rely on show up in the plans."""
 from pyspark.sql import functions as F
 
+from parley.plans.registry import QUERIES
 from conftest import SF001
 from parley.operators import sampling as W
 
@@ -28,3 +29,27 @@ def test_global_totals_are_scalar_subqueries_not_windows(spark):
     d = spark.read.parquet(f"{SF001}/documents.parquet")
     p = plan(value_counts(d, "lang"))
     assert "Subquery" in p and "Window" not in p
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_k_meets_in_cells(spark):
+    for name in ("v3_dense_topk", "v4_keyed_dense_topk", "g2_gates"):
+        plan = _plan(QUERIES[name](spark, SF001))
+        assert "FlatMapCoGroupsInArrow" in plan, name
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+        assert "WindowGroupLimit" in plan, name
+
+
+def test_evaluation_scans_its_rows_once(spark):
+    """Scans of documents in the plan before reuse: one, or two where labels join them."""
+    for name, most in (("e1_per_class_accuracy", 1), ("e2_e3_blended", 2), ("e5_e6_prevalence", 1), ("e13_rollup", 4)):
+        assert _plan(QUERIES[name](spark, SF001)).count("documents.parquet") <= most, name
+    assert _plan(QUERIES["e7_weighted_kappa"](spark, SF001)).count("labels.parquet") == 1
+
+
+def test_components_query_holds_no_pair_of_all(spark):
+    plan = _plan(QUERIES["v6_components"](spark, SF001))
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

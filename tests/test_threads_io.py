@@ -133,3 +133,36 @@ def test_label_log_over_partitions(spark, scratch):
     IO.append_label_log(df, os.path.join(scratch, "log4"), batch=1)
     log = spark.read.json(os.path.join(scratch, "log4"))
     assert log.select("seq").distinct().count() == 4000
+
+
+def test_clean_corpus_from_raw_messages(spark, scratch):
+    from parley.plans.jobs import corpus_job
+    path = os.path.join(scratch, "raw.csv")
+    with open(path, "w") as f:
+        f.write("text,tweet_id,author_id,inbound,created_at,response_tweet_id,in_response_to_tweet_id\n")
+        f.write('"@115858  my keyboard, @Someone and @Acme",1,u1,True,2017-11-05 10:00:00,2,\n')
+        f.write('"@u1 send us a DM, @AcmeHelp",2,Acme,False,2017-11-05 10:05:00,,1\n')
+        f.write('"@115858 hello",3,u2,True,2017-10-01 10:00:00,4,\n')
+        f.write('"Thanks for reaching out.",4,Acme,False,2017-10-01 10:05:00,,3\n')
+        f.write('"two replies",5,u3,True,2017-10-01 10:00:00,"6,7",\n')
+        f.write('"a",6,Acme,False,2017-10-01 10:00:00,,5\n')
+    m = IO.read_messages_csv(spark, path, "text", "created_at").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    got = {r.tweet_id: r for r in corpus_job(spark, m, "Acme", os.path.join(scratch, "corpus"), ["AcmeHelp"]).collect()}
+    assert set(got) == {"2", "4"}
+    assert got["2"].customer_text == "@BRAND my keyboard, @USER and @BRAND" and got["2"].brand_text == "@USER send us a DM, @BRAND"
+    assert got["2"].res_type == "dm_handoff" and got["2"].bug_kw and got["2"].in_window and got["2"].incident_window
+    assert got["4"].res_type == "other" and got["4"].incident_window is None
+
+
+def test_pluggable_labeler(spark):
+    from parley.operators.retrieval import label_neighbours
+    c = spark.createDataFrame([(1, 10), (1, 11), (2, 10)], "q_id long, n_id long")
+    asked = []
+
+    def labeler(rows):
+        asked.append(rows.count())
+        return rows.filter("n_id = 10").withColumn("label", F.lit("x"))
+    got = {(r.q_id, r.n_id): r.label for r in label_neighbours(c, labeler).collect()}
+    assert got == {(1, 10): "x", (1, 11): None, (2, 10): "x"} and asked == [2]
+    log = spark.createDataFrame([(11, "y")], "n_id long, label string")
+    assert {r.label for r in label_neighbours(c, log=log).collect()} == {"y", None}
