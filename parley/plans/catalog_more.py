@@ -221,7 +221,10 @@ def st1_pending_set(spark, d):
     return pending(tb(spark, d, "documents"), tb(spark, d, "labels"), "doc_id", "text").select("doc_id")
 
 
-@register("st2_stream_decisions")
+@register("st2_stream_decisions", f"""
+select conv_id, turn, role, case when role = 'assistant' then {sql_resolution_type('text')} end as rtype, intent,
+  array_to_string({sql_overrides('text', 'intent')}, ',') as overrides, {sql_real_words('text')} <= {P.THIN_MAX_WORDS} as thin
+from (select *, {sql_label_intent('text')} as intent from conversations) x""")
 def st2_stream_decisions(spark, d):
     from ..streaming.incremental import stream_labels
     return stream_labels(spark, d)
