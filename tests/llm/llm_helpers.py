@@ -1,10 +1,7 @@
-import os
-import sys
-
+"""Fixture and helper shared by the tests of this folder."""
 import pytest
 from pyspark.sql import functions as F
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 #: Names that operators use inside, as columns of the input.
 CLASH = ("rk", "chunk", "name", "part", "kind", "n", "bucket", "_parley_row", "_parley_gone", "_parley_noise", "spans")
 

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 from brute import corpus, hard_rows, near, top_k
-from conftest import rows_of
+from llm_helpers import frame, rows_of  # noqa: F401
 from parley.llm import circulant, line_chunks, maxscore
 from parley.operators.components import connected_components
 

@@ -2,7 +2,7 @@
 import numpy as np
 import pytest
 from brute import byte_spans, corpus, hard_rows, passages
-from conftest import rows_of
+from llm_helpers import frame, rows_of  # noqa: F401
 from parley.llm import prefix_doubling, recompression, repeats
 from parley.llm.common import Rolling, sliding_min
 

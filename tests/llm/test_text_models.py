@@ -4,7 +4,7 @@ import random
 
 import pytest
 from brute import corpus, hard_rows, sha
-from conftest import rows_of
+from llm_helpers import frame, rows_of  # noqa: F401
 from pyspark.sql import functions as F
 
 from parley.llm import bpe_prefix, chat, ecoc, importance, queries, templates
