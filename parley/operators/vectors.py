@@ -81,7 +81,8 @@ def topk_dense(queries: DataFrame, pool: DataFrame, k: int, id_col: str = "id",
     kind = to_arrow_type(pool.schema[id_col].dataType)
     cand = q.cogroup(p).applyInArrow(lambda a, b: score(a, b), f"q_id {id_type}, n_id {id_type}, cos double")
     w = Window.partitionBy("q_id").orderBy(F.round("cos", 9).desc(), F.asc("n_id"))
-    return cand.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
+    # the filter must name row_number itself for Spark to cut each partition before the shuffle
+    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 # V5 ---------------------------------------------------------------------------
