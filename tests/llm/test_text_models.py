@@ -66,6 +66,29 @@ def test_classifier_on_given_labels(spark):
     assert bad.join(kept, "doc_id", "left_anti").count() > 0.7 * bad.count()
 
 
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.1"])
+def test_classifier_keeps_clean_at_any_size(spark, sf):
+    d, l = (queries.table(spark, sf, t) for t in ("documents", "labels"))
+    l = l.filter("quality is not null and toxic is not null")
+    clean, bad = l.filter("quality = 1 and toxic = 0").select("doc_id"), l.filter("quality = 0 or toxic = 1").select("doc_id")
+    kept = {r["doc_id"] for r in importance.classify(d, l).select("doc_id").collect()}
+    good = {r["doc_id"] for r in clean.collect()}
+    assert len(good - kept) <= 0.001 * len(good)
+    bad = {r["doc_id"] for r in bad.collect()}
+    assert len(bad - kept) > 0.7 * len(bad)
+    # documents whose labels the fit does not see
+    seen = importance.classify(d, l.filter("doc_id % 2 = 0")).select("doc_id")
+    kept = {r["doc_id"] for r in seen.collect()}
+    assert len(good - kept) <= 0.01 * len(good)
+
+
+def test_noise_lifts_no_row_over_a_higher_level():
+    import numpy as np
+    noise = np.arange(200_000)
+    low, high = importance._key(np.full(len(noise), -0.01), noise), importance._key(np.zeros(len(noise)), noise)
+    assert low.max() < high.min()
+
+
 # chat
 
 def plain_chat(rows):
