@@ -1,11 +1,12 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by overlapping chunks of lines.
 
-Lines are named by content; a rolling name over the last ``WINDOW`` lines decides whether a
-chunk ends there, so boundaries depend on nearby lines only and survive insertions before
-them. Chunks with at least two lines that are not blank are grouped by name over all
-documents; every occurrence but the first (smallest doc_id, then row key, then position)
-fetches its bytes and the first one's, and is removed if they are equal. Hot chunks combine
-before the shuffle, and the comparison is a join whose large side may be split.
+A chunk reaches from a line that is not blank to the next such line, so it holds two of them
+and shares each with its neighbour. No boundary is chosen: a passage of two or more lines
+that repeats is covered by its own chunks, whatever stands before and after it. Chunks are
+grouped by name over all documents; every occurrence but the first (smallest doc_id, then row
+key, then position) fetches its bytes and the first one's, and its lines are removed if they
+are equal. The first occurrence of a line is in no later chunk, so every line stays once. Hot
+chunks combine before the shuffle, and the comparison is a join whose large side may be split.
 
 Lines end at ``\\n``; the lines kept are joined by it. Nulls: a null text has no lines and
 stays null, a null doc_id ranks after all others. Repeated rows, told apart by (doc_id,
@@ -18,9 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, NULL_ID, U, batches_of_rows, mix64, split_spans, store, text_buffer, word_names
+from .common import NULL_ID, U, batches_of_rows, store, text_buffer, word_names
 
-WINDOW, MEAN_LINES = 2, 3  # lines that decide a boundary; lines per chunk on average
 CHUNKS = "name long, rk long, doc long, at int"
 LINE_END = np.ones(256, bool)
 LINE_END[10] = False
@@ -28,14 +28,14 @@ BLANK = np.zeros(256, bool)
 BLANK[[9, 11, 12, 13, 32]] = True
 
 
-def chunks_of(data: np.ndarray, off: np.ndarray):
-    """Chunks of all rows: (row, first line, line count, byte start, byte end, name, lines
-    that are not blank). Lines count from 0 in their row; a text of n newlines has n + 1."""
+def lines_of(data: np.ndarray, off: np.ndarray):
+    """Lines of all rows: (row offsets of the lines, byte start, byte end). A text of n
+    newlines has n + 1."""
     rows = len(off) - 1
     brk = np.flatnonzero(data == 10)
     owner = np.searchsorted(off, brk, side="right") - 1
     count = np.bincount(owner, minlength=rows) + 1 if rows else np.zeros(0, np.int64)
-    line_off = np.concatenate([[0], np.cumsum(count)])
+    line_off = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
     start = np.zeros(line_off[-1], np.int64)
     end = np.zeros(line_off[-1], np.int64)
     start[line_off[:-1]], end[line_off[1:] - 1] = off[:-1], off[1:]
@@ -45,30 +45,23 @@ def chunks_of(data: np.ndarray, off: np.ndarray):
     inner = np.ones(line_off[-1], bool)
     inner[line_off[1:] - 1] = False
     end[inner] = brk
-    name = np.full(len(start), GOLD, U)  # an empty line's name
-    full = end > start
-    name[full] = word_names(data, start[full], end[full])
+    return line_off, start, end
+
+
+def chunks_of(data: np.ndarray, off: np.ndarray):
+    """Chunks of all rows: (row, first line, line count, byte start, byte end, name). Lines
+    count from 0 in their row."""
+    line_off, start, end = lines_of(data, off)
     text = ~BLANK[data] & LINE_END[data]
     seen = np.concatenate([[0], np.cumsum(text, dtype=np.int64)])
-    solid = (seen[end] - seen[start] > 0).astype(np.int64)
-    row = np.repeat(np.arange(rows), count)
-    roll = name.copy()
-    for k in range(1, WINDOW):
-        prior = np.full(len(name), k, U)  # a row begins after a fixed name
-        prior[k:] = np.where(row[k:] == row[:-k], name[:-k], U(k))
-        roll = roll * GOLD + mix64(prior)
-    ends = mix64(roll) % U(MEAN_LINES) == 0
-    ends[line_off[1:] - 1] = True
-    first = np.concatenate([[True], ends[:-1]])[:len(ends)]
-    a = np.flatnonzero(first)
-    z = np.flatnonzero(ends)
-    if not len(a):
-        empty = np.zeros(0, np.int64)
-        return empty, empty, empty, empty, empty, np.zeros(0, U), empty
-    place = np.arange(len(name)) - a[np.cumsum(first) - 1]
-    named = np.add.reduceat(name * mix64(place.astype(U) + U(1)), a)
-    solid = np.add.reduceat(solid, a)
-    return row[a], a - line_off[row[a]], z - a + 1, start[a], end[z], mix64(named + (z - a + 1).astype(U)), solid
+    solid = np.flatnonzero(seen[end] > seen[start])
+    row = np.searchsorted(line_off, solid, side="right") - 1
+    pair = np.flatnonzero(row[1:] == row[:-1])
+    a, z, row = solid[pair], solid[pair + 1], row[pair]
+    name = np.zeros(len(a), U)
+    for k in (0, 1):  # every second chunk: those do not overlap
+        name[k::2] = word_names(data, start[a[k::2]], end[z[k::2]])
+    return row, a - line_off[row], z - a + 1, start[a], end[z], name
 
 
 def _row_key():
@@ -85,11 +78,10 @@ def _list(batches):
         data, off = text_buffer(batch.column("text"))
         rk, doc = batch.column("rk").to_numpy(), batch.column("doc").to_numpy()
         for a, b in batches_of_rows(off, 1 << 20):
-            row, _, _, lo, _, name, solid = chunks_of(data[off[a]:off[b]], off[a:b + 1] - off[a])
+            row, _, _, _, _, name = chunks_of(data[off[a]:off[b]], off[a:b + 1] - off[a])
             place = np.arange(len(row)) - np.searchsorted(row, row)  # the chunk's number in its row
-            pick = solid >= 2
             yield pa.RecordBatch.from_arrays(
-                [pa.array(name[pick].view(np.int64)), pa.array(rk[a + row[pick]]), pa.array(doc[a + row[pick]]), pa.array(place[pick].astype(np.int32))],
+                [pa.array(name.view(np.int64)), pa.array(rk[a + row]), pa.array(doc[a + row]), pa.array(place.astype(np.int32))],
                 names=["name", "rk", "doc", "at"])
 
 
@@ -101,7 +93,7 @@ def _fetch(batches):
         wanted = batch.column("wanted").to_pylist()
         rk = batch.column("rk").to_pylist()
         for a, b in batches_of_rows(off, 1 << 20):
-            row, _, _, lo, hi, _, _ = chunks_of(data[off[a]:off[b]], off[a:b + 1] - off[a])
+            row, _, _, lo, hi, _ = chunks_of(data[off[a]:off[b]], off[a:b + 1] - off[a])
             base = np.searchsorted(row, np.arange(b - a))
             out = ([], [], [], [], [])
             for i in range(a, b):
@@ -137,21 +129,24 @@ def _kept(texts, gone):
     null = texts.is_null().to_pylist()
     kept, lines, removed = [], [], []
     for a, b in batches_of_rows(off, 1 << 20):
-        row, _, n, lo, hi, _, _ = chunks_of(data[off[a]:off[b]], off[a:b + 1] - off[a])
+        part, span = data[off[a]:off[b]], off[a:b + 1] - off[a]
+        line_off, lo, hi = lines_of(part, span)
+        row, at, n, _, _, _ = chunks_of(part, span)
         base = np.searchsorted(row, np.arange(b - a + 1))
         for i in range(a, b):
-            s, e = int(base[i - a]), int(base[i - a + 1])
-            out = set(gone[i] or ())
-            total = int(n[s:e].sum())
-            cut = int(sum(n[s + k] for k in out))
+            s, e = int(line_off[i - a]), int(line_off[i - a + 1])
             if null[i]:
                 kept.append(None), lines.append(0), removed.append(0)
                 continue
-            if out:
-                kept.append(b"\n".join(bytes(view[off[a] + lo[j]:off[a] + hi[j]]) for j in range(s, e) if j - s not in out))
+            out = np.zeros(e - s, bool)
+            for k in gone[i] or ():
+                j = base[i - a] + k
+                out[at[j]:at[j] + n[j]] = True
+            if out.any():
+                kept.append(b"\n".join(bytes(view[off[a] + lo[j]:off[a] + hi[j]]) for j in (s + np.flatnonzero(~out)).tolist()))
             else:
                 kept.append(bytes(view[off[i]:off[i + 1]]))
-            lines.append(total), removed.append(cut)
+            lines.append(e - s), removed.append(int(out.sum()))
     return pa.array(kept, pa.binary()).cast(pa.string()), lines, removed
 
 
@@ -170,7 +165,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated chunks cut from ``text`` and ``n_chars``, if there, counted
-    anew; rows whose whole text was repeated go."""
+    anew; rows of whose text only blank lines are left go."""
     key, gone = "_parley_row", "_parley_gone"
     while key in docs.columns or gone in docs.columns:
         key, gone = key + "_", gone + "_"
@@ -185,7 +180,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             columns = list(batch.columns[:-1])
             columns[at] = text
             table = pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
-            said = [not r or bool(t) for r, t in zip(removed, text.to_pylist())]
+            said = [not r or bool(t.strip()) for r, t in zip(removed, text.to_pylist())]
             yield table.filter(pa.array(said, pa.bool_()))
 
     out = joined.mapInArrow(cut, docs.schema)

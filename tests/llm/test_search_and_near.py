@@ -128,6 +128,22 @@ def test_line_dedup(frame):
     assert got == want and sum(r[3] for r in got) > 50
 
 
+def test_line_dedup_finds_every_repeated_run(frame):
+    """Runs of two or more lines inside otherwise different documents, by lines alone."""
+    rnd = random.Random(6)
+    line = lambda: f"line {rnd.random()} of its own"
+    runs = [[line() for _ in range(2 + k % 4)] for k in range(40)]
+    runs[3].insert(1, "")
+    rows = []
+    for i in range(120):
+        t = [line() for _ in range(rnd.randint(0, 4))] + runs[i % 40] + [line() for _ in range(rnd.randint(0, 4))]
+        rows.append((i, "\n".join(t)))
+    got = {r["doc_id"]: r for r in line_chunks.line_dedup(frame(rows)).collect()}
+    for i, t in rows:
+        left = [x for x in t.split("\n") if i < 40 or x not in runs[i % 40]]
+        assert got[i]["text"] == "\n".join(left) and got[i]["n_removed"] == (len(runs[i % 40]) if i >= 40 else 0)
+
+
 def test_line_dedup_boundaries_resist_shifts():
     rnd = random.Random(3)
     body = [f"line {rnd.random()}" for _ in range(200)]
