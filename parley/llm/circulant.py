@@ -3,9 +3,9 @@
 A document's set is its distinct shingles of five words. One permutation scrambles the
 shingles; a second, shifted circularly by 0, 1, 2, ... gives all coordinates of the
 signature: coordinate k is the least value of second(first(x) - k) over the set, in a
-universe of 2 ** 32. ``BANDS`` bands of ``ROWS`` coordinates name the buckets in which
-documents meet. A pair at the threshold misses all buckets with probability
-(1 - 0.85 ** 4) ** 16 = 8e-6, more similar ones far less.
+universe of 2 ** 32. Bands of ``ROWS`` coordinates name the buckets in which documents meet.
+A pair at the threshold misses all buckets with a probability of at most ``MISS``, more
+similar ones far less; ``shape`` gives the bands for that, 16 at 85 percent and 22 at 80.
 
 Documents with equal sets are one class from the start. Links join into components, and
 members of one component need no further check. So each class is checked against one hub
@@ -14,8 +14,8 @@ members are then checked against a few neighbours in a random order, in cells of
 size, as long as that finds links; last, all members of different components are checked,
 block by block of two cells, each pair in the first bucket it shares. A bucket of thousands of
 copies costs a few checks each, yet no link between components is lost. Pairs whose sizes rule the threshold out are not checked, nor, after
-the first hub, those whose signatures agree in fewer than ``AGREE`` of the 64 coordinates,
-which a pair at the threshold does with probability 2e-7. A check compares the full shingle
+the first hub, those whose signatures agree in fewer coordinates than ``shape`` says,
+which a pair at the threshold does with probability ``PASS_BY`` at most. A check compares the full shingle
 sets of both texts, in salted groups of one hub and up to ``GROUP`` members.
 
 Nulls: a null text is empty; documents without words have an empty set and link with
@@ -26,6 +26,8 @@ share its verdict. Other columns are not read by ``near_duplicates`` and kept by
 """
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -35,8 +37,24 @@ from ..operators.components import connected_components
 from .common import GOLD, IS_SPACE, NULL_ID, TO_LOWER, U, Rolling, batches_of_rows, mix64, split_spans, store, text_buffer, word_names
 
 SHINGLE, THRESHOLD = 5, 85  # words; percent of the union that the intersection must reach
-BANDS, ROWS, GROUP = 16, 4, 256
-AGREE = 38  # of BANDS * ROWS coordinates
+ROWS, GROUP = 4, 256
+MISS, PASS_BY = 1e-5, 2e-7
+
+
+def shape(percent: int) -> tuple[int, int]:
+    """(bands, coordinates that must agree) for a threshold; the bands are even, as eight
+    coordinates share a number."""
+    p = percent / 100
+    if p >= 1:
+        return 2, 2 * ROWS
+    bands = 2 * math.ceil(math.log(MISS) / math.log(1 - p ** ROWS) / 2)
+    n, agree, below = bands * ROWS, 0, 0.0
+    while (below := below + math.comb(n, agree) * p ** agree * (1 - p) ** (n - agree)) <= PASS_BY:
+        agree += 1
+    return bands, agree
+
+
+BANDS, AGREE = shape(THRESHOLD)
 #: Neighbours looked at per member, members of one cell, rounds at most, and the share of
 #: checks (one in RETURN) that must find a link for another round. They order the work only.
 LOOK, CELL, MAX_TURNS, RETURN = 8, 512, 6, 50
@@ -165,7 +183,7 @@ def _similar_size(x: str, y: str, percent: int):
     return F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
 
 
-def _agree(x: str, y: str, coordinates: int = BANDS * ROWS):
+def _agree(x: str, y: str, coordinates: int, agree: int):
     """Whether two signatures agree in enough coordinates: bytes that differ, folded to one
     bit each and counted."""
     different = F.lit(0)
@@ -174,10 +192,10 @@ def _agree(x: str, y: str, coordinates: int = BANDS * ROWS):
         for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
             d = d.bitwiseOR(F.shiftrightunsigned(d, shift)).bitwiseAND(F.lit(mask))
         different = different + F.bit_count(d)
-    return different <= coordinates - AGREE
+    return different <= coordinates - agree
 
 
-def _mates(band, cell, two, part, n, bands, sig, percent):
+def _mates(band, cell, two, part, n, bands, sig, percent, agree):
     """Pairs (i, j) of one block's members that need a check: of different components, of
     similar size and signature, and in the first bucket that both share."""
     out = []
@@ -190,7 +208,7 @@ def _mates(band, cell, two, part, n, bands, sig, percent):
         ok &= np.arange(len(n))[r, None] < np.arange(len(n))[None]
         x, y = np.nonzero(ok)
         x += i
-        good = (sig[x] == sig[y]).sum(axis=1) >= AGREE
+        good = (sig[x] == sig[y]).sum(axis=1) >= agree
         x, y = x[good], y[good]
         good = (bands[x] == bands[y]).argmax(axis=1) == band
         out.append((x[good], y[good]))
@@ -207,6 +225,7 @@ def _check_cells(texts: DataFrame, placed: DataFrame, percent: int) -> DataFrame
         .withColumn("block", F.xxhash64("bucket", F.least("cell", "other"), F.greatest("cell", "other"))) \
         .select("block", "band", "cell", (F.col("cell") != F.col("other")).cast("int").alias("two"), "rk", "part", "n", "bands", "sig")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    agree = shape(percent)[1]
 
     def find(t: pa.Table) -> pa.Table:
         t = t.sort_by([("block", "ascending"), ("rk", "ascending")])
@@ -219,7 +238,7 @@ def _check_cells(texts: DataFrame, placed: DataFrame, percent: int) -> DataFrame
             r = slice(i, j)
             if j - i < 2:
                 continue
-            x, y = _mates(col["band"][i], col["cell"][r], col["two"][i], col["part"][r], col["n"][r], lists["bands"][r], low[r], percent)
+            x, y = _mates(col["band"][i], col["cell"][r], col["two"][i], col["part"][r], col["n"][r], lists["bands"][r], low[r], percent, agree)
             if not len(x):
                 continue
             rk = col["rk"][r]
@@ -271,7 +290,8 @@ def _open(seats: DataFrame, parts: DataFrame) -> DataFrame:
 def _groups(docs: DataFrame, percent: int) -> DataFrame:
     """(rk, doc_id, n, component_id, best): best is the row key of the component's first row."""
     rows = _rows(docs)
-    signed = store(signatures(rows), "signed")
+    bands, agree = shape(percent)
+    signed = store(signatures(rows, bands), "signed")
     order = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), F.col("rk").alias("rk"))
     same = ["n", "s1", "s2"]
     classes = store(signed.filter("n > 0").groupBy(*same).agg(
@@ -300,7 +320,7 @@ def _groups(docs: DataFrame, percent: int) -> DataFrame:
         other = F.struct(F.col("rk").alias("a"), F.col("part").alias("a_part"), F.col("n").alias("a_n"), F.col("sig").alias("a_sig"))
         looked = placed.select("rk", "part", "n", "sig", F.array(*[F.lag(other, i).over(near) for i in range(1, LOOK + 1)]).alias("o"))
         pairs = looked.withColumn("o", F.explode(F.filter("o", lambda x: x.isNotNull()))).select("rk", "part", "n", "sig", "o.*")
-        pairs = pairs.filter((F.col("part") != F.col("a_part")) & _similar_size("n", "a_n", percent) & _agree("sig", "a_sig")) \
+        pairs = pairs.filter((F.col("part") != F.col("a_part")) & _similar_size("n", "a_n", percent) & _agree("sig", "a_sig", bands * ROWS, agree)) \
             .select(F.least("a", "rk").alias("a"), F.greatest("a", "rk").alias("b")).distinct()
         pairs = store(pairs, "pairs")
         links = _check(texts, pairs, percent)

@@ -81,6 +81,19 @@ def test_keep_one(frame, spark):
     assert circulant.keep_one(empty).count() == 0 and circulant.near_duplicates(empty).count() == 0
 
 
+def test_pipeline_stage_joins_pairs_from_080(frame, spark):
+    import corpus_pipeline
+    words = [f"w{k}" for k in range(120)]
+    near_080 = words[:60] + ["other", *words[61:100], "else", *words[101:]]
+    rows = [(1, " ".join(words)), (2, " ".join(near_080))]
+    assert {c for _, _, c in near(rows, 85)} == {1, 2} and {c for _, _, c in near(rows, 80)} == {1}
+    assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame(rows), "").collect()] == [1]
+    rows = corpus(7, 80, 200)
+    got = corpus_pipeline.near_duplicates(spark, frame(rows), "")
+    assert {r["doc_id"] for r in got.collect()} == {c for _, _, c in near(rows, 80)}
+    assert circulant.shape(85) == (16, 38) and circulant.shape(80)[0] > 16
+
+
 def test_components_long_chain_and_star(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000, 1000 + k) for k in range(1, 300)] + [(5000, 5000), (None, 7)]
     random.Random(1).shuffle(edges)
