@@ -6,9 +6,11 @@ template tokens of the benchmark are joined by hash with those of every document
 alignment of a document with an item, the slots of the matching windows are compared: the
 item's slot values must map to the document's as a function, type by type, so "Ann has 3 ...
 Ann" matches "Bo has 5 ... Bo" but not "Bo has 5 ... Cy". A document that holds a consistent
-window is contaminated, whether the slots are unchanged or given other values. Windows need
-``LITERAL`` tokens that are not placeholders; an item shorter than the window takes its whole
-length, and one of fewer than ``LITERAL`` tokens is too short to tell and flags nothing.
+window is contaminated, whether the slots are unchanged or given other values. Template
+windows need ``LITERAL`` tokens that are not placeholders; an item shorter than the window
+takes its whole length. Beside them every item has literal windows, the lower-case tokens
+without placeholders and without that minimum, so text copied word for word is found whatever
+is typed as a name or number in it. Items of fewer than ``SHORT`` tokens flag nothing.
 
 The benchmark side goes to the tasks in blocks of at most ``BLOCK_TOKENS`` tokens, one pass
 over the documents each, so what is broadcast does not grow with the benchmark.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import IS_SPACE, TO_LOWER, U, Rolling, batches_of_rows, mix64, split_spans, text_buffer, word_names
 from .importance import KIND
 
-WINDOW, LITERAL, BLOCK_TOKENS = 10, 5, 1_000_000
+WINDOW, LITERAL, SHORT, BLOCK_TOKENS = 10, 5, 3, 1_000_000
 NUMBER, NAME, UNIT = 1, 2, 3
 #: Units of measure, currency and time.
 UNITS = """mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms
@@ -70,14 +72,14 @@ def canonical(data: np.ndarray, off: np.ndarray):
     return literal, kind, np.where(kind > 0, mix64(kind.astype(U)), literal), at
 
 
-def _windows(template, kind, at, length):
-    """(row, first token, name) of all windows of ``length`` tokens with enough literals."""
+def _windows(template, kind, at, length, least=LITERAL):
+    """(row, first token, name) of all windows of ``length`` tokens, ``least`` of them literal."""
     count = np.diff(at)
     per = np.maximum(0, count - length + 1)
     first = np.repeat(at[:-1], per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
     row = np.repeat(np.arange(len(count)), per)
     plain = np.concatenate([[0], np.cumsum(kind == 0)])
-    good = plain[first + length] - plain[first] >= LITERAL
+    good = plain[first + length] - plain[first] >= least
     first, row = first[good], row[good]
     return row, first, Rolling(template, length).at(first, length) if len(first) else np.zeros(0, U)
 
@@ -87,23 +89,23 @@ def make_block(items: list, texts: list[str]) -> SimpleNamespace:
     data = np.frombuffer(b"".join(t.encode() for t in texts), np.uint8)
     off = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]).astype(np.int64)
     literal, kind, template, at = canonical(data, off)
-    by_length = {}
-    for n in range(LITERAL, WINDOW + 1):
-        row, first, name = _windows(template, kind, at, n)
-        pick = (np.diff(at)[row] == n) if n < WINDOW else np.ones(len(row), bool)
-        row, first, name = row[pick], first[pick], name[pick]
-        if len(name):
-            o = np.argsort(name, kind="stable")
-            by_length[n] = (name[o], row[o], first[o])
-    return SimpleNamespace(items=items, literal=literal, by_length=by_length)
-
-
-def hits(block: SimpleNamespace, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, bool]]:
-    """(row, item index, windows, slots changed) of rows that hold a consistent window."""
-    literal, kind, template, at = canonical(data, off)
+    by_length, exact = {}, {}
+    for n in range(SHORT, WINDOW + 1):
+        for windows, tokens, least in ((by_length, template, LITERAL), (exact, literal, 0)):
+            row, first, name = _windows(tokens, kind, at, n, least)
+            pick = (np.diff(at)[row] == n) if n < WINDOW else np.ones(len(row), bool)
+            row, first, name = row[pick], first[pick], name[pick]
+            if len(name):
+                o = np.argsort(name, kind="stable")
+                windows[n] = (name[o], row[o], first[o])
+    return SimpleNamespace(items=items, literal=literal, by_length=by_length, exact=exact)
+
+
+def _aligned(windows: dict, tokens, kind, at, least: int) -> list[np.ndarray]:
+    """(row, item index, shift, first token, length) of the windows found, by length."""
     found = []
-    for n, (name, item, pos) in block.by_length.items():
-        row, first, mine = _windows(template, kind, at, n)
+    for n, (name, item, pos) in windows.items():
+        row, first, mine = _windows(tokens, kind, at, n, least)
         lo, hi = np.searchsorted(name, mine, "left"), np.searchsorted(name, mine, "right")
         hit = np.flatnonzero(hi > lo)
         if not len(hit):
@@ -112,24 +114,32 @@ def hits(block: SimpleNamespace, data: np.ndarray, off: np.ndarray) -> list[tupl
         k = np.repeat(hit, many)
         b = lo[k] + np.arange(len(k)) - np.repeat(np.cumsum(many) - many, many)
         # one alignment: the same row, item and shift
-        align = np.stack([row[k], item[b], first[k] - pos[b], first[k], np.full(len(k), n)], axis=1)
-        found.append(align[np.lexsort(align.T[::-1])])
+        found.append(np.stack([row[k], item[b], first[k] - pos[b], first[k], np.full(len(k), n)], axis=1))
+    return found
+
+
+def hits(block: SimpleNamespace, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, bool]]:
+    """(row, item index, windows, slots changed) of rows that hold a consistent window."""
+    literal, kind, template, at = canonical(data, off)
+    # per alignment: the windows equal word for word, then those with other slots
+    aligned: dict[tuple[int, int, int], list] = {}
+    for align in _aligned(block.exact, literal, kind, at, 0):
+        for row, item, shift, first, n in align.tolist():
+            aligned.setdefault((row, item, shift), [set(), 0])[0].add((first, n))
+    for align in _aligned(block.by_length, template, kind, at, LITERAL):
+        for row, item, shift, first, n in align.tolist():
+            entry = aligned.get((row, item, shift))
+            if entry and (first, n) in entry[0]:
+                continue
+            slots = [t for t in range(first, first + n) if kind[t]]
+            pairs = {(int(kind[t]), int(block.literal[t - shift]), int(literal[t])) for t in slots}
+            if len({p[:2] for p in pairs}) == len(pairs):
+                aligned.setdefault((row, item, shift), [set(), 0])[1] += 1
     out: dict[tuple[int, int], list] = {}
-    for align in found:
-        cut = np.flatnonzero((align[1:, :3] != align[:-1, :3]).any(axis=1)) + 1
-        for i, j in zip([0, *cut], [*cut, len(align)]):
-            row, item, shift, _, n = align[i].tolist()
-            good = changed = 0
-            for first in align[i:j, 3].tolist():
-                slots = [t for t in range(first, first + n) if kind[t]]
-                pairs = {(int(kind[t]), int(block.literal[t - shift]), int(literal[t])) for t in slots}
-                if len({p[:2] for p in pairs}) == len(pairs):
-                    good += 1
-                    changed += any(x != y for _, x, y in pairs)
-            if good:
-                entry = out.setdefault((row, item), [0, False])
-                entry[0] += good
-                entry[1] |= changed == good
+    for (row, item, _), (same, changed) in aligned.items():
+        entry = out.setdefault((row, item), [0, False])
+        entry[0] += len(same) + changed
+        entry[1] |= not same
     return [(row, item, n, changed) for (row, item), (n, changed) in out.items()]
 
 

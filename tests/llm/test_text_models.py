@@ -185,6 +185,19 @@ def test_templates(spark):
     assert templates.leaks(df, b.limit(0)).count() == 0 and templates.leaks(df.limit(0), b).count() == 0
 
 
+def test_templates_find_exact_text(spark):
+    numbers = "What is 12 + 7 * 3 - 4 / 2 + 9 * 5 ?"
+    b = spark.createDataFrame([(1, numbers), (2, "What is the capital of France today?"), (3, "Name the largest moon"),
+                               (4, "Anna Berg met Carl Dorn and Emil Frank near Graz")], "item_id long, text string")
+    rows = [(1, f"Some text. {numbers} More text."), (2, 'She asked, "What is the capital of France today?" Then she left.'),
+            (3, "please name the largest moon of all"), (4, "so anna berg met carl dorn and emil frank near graz again"),
+            (5, "WHAT IS THE CAPITAL OF FRANCE TODAY"), (6, "what is 13 + 8 * 4 - 5 / 3 + 1 * 6"), (7, "the largest moon has a name")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in templates.leaks(df, b).collect()}
+    assert {g[:2] for g in got} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 2)} and not any(g[3] for g in got)
+    assert {r["doc_id"] for r in templates.clean(df, b).collect()} == {6, 7}
+
+
 def test_templates_in_blocks(spark, monkeypatch):
     d, b = (queries.table(spark, SF, t) for t in ("documents", "benchmark"))
     whole = rows_of(templates.leaks(d, b))
