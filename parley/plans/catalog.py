@@ -599,6 +599,16 @@ def x1_anonymize(spark, d):
                        F.regexp_count(a, F.lit("@USER")).cast("bigint").alias("n_user"))
 
 
+@register("x1_anonymize_all", f"""
+select doc_id, md5({strip(collapse(SQL_USERIZE))}) as anon_md5,
+  len(regexp_extract_all({strip(collapse(SQL_USERIZE))}, '@USER'))::bigint as n_user
+from documents""")
+def x1_anonymize_all(spark, d):
+    a = T.anonymize("text")
+    return tb(spark, d, "documents").select("doc_id", F.md5(a).alias("anon_md5"),
+                                            F.regexp_count(a, F.lit("@USER")).cast("bigint").alias("n_user"))
+
+
 @register("x3_foreign_links", f"""
 select count(*) filter (where len(list_filter(regexp_extract_all(url, 'https?://\\S+'), lambda x: not list_contains({arr(P.DM_LINKS)}, x))) > 0)::bigint as n_foreign,
   count(*)::bigint as n from pages""")

@@ -40,6 +40,13 @@ def test_dm_link_with_trailing_punctuation_is_content(spark):
     assert got == ["self_contained_answer"]
 
 
+def test_anonymize_query_returns_every_document(spark):
+    from conftest import SF001
+    from parley.plans.registry import QUERIES
+    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
+    assert ids(QUERIES["x1_anonymize_all"](spark, SF001)) == ids(spark.read.parquet(f"{SF001}/documents.parquet"))
+
+
 def test_anonymize(spark):
     df = spark.createDataFrame([("hi @Acme and @778899, cc @someone!  ok ",)], "t string")
     out = df.select(T.anonymize("t", "778899", ["Acme", "AcmeHelp"]).alias("o")).first()["o"]
