@@ -8,8 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe_prefix, chat, circulant, ecoc, importance, line_chunks, maxscore, prefix_doubling,
-               recompression, templates)
+from . import (bpe_prefix, chat, circulant, ecoc, importance, line_chunks, maxscore, periodic_runs, prefix_doubling,
+               recompression, source_mix, target_resampling, templates)
 
 TOKENIZERS = os.environ.get("PARLEY_TOKENIZERS", "/opt/tokenizers")
 
@@ -64,9 +64,22 @@ def op10_bpe_codec(spark, sf_dir):
     return bpe_prefix.encode_decode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", digest=True)
 
 
+def op11_importance_resampling(spark, sf_dir):
+    return target_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    return periodic_runs.run_digest(table(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_source_mix(spark, sf_dir):
+    return source_mix.mix_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_exact_topk, op3_line_dedup, op4_suffix_array_dedup, op5_quality_classifier,
     op6_minhash_near_dedup, op7_chat_formatting, op8_language_id, op9_benchmark_decontamination, op10_bpe_codec,
+    op11_importance_resampling, op12_periodic_runs, op13_source_mix,
 )}
 
 SQL: dict[str, str] = {
@@ -150,4 +163,64 @@ SELECT conv_id, count(*) AS n_turns,
   (sum(text_chars + CASE WHEN rn = 1 THEN open_chars WHEN prev = role THEN length('<|im_sep|>')
                          ELSE end_chars + open_chars END) + max(end_chars))::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op11_importance_resampling": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+e AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+f AS (
+  SELECT doc_id, false AS target, unnest(flatten([w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+                         list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])])) AS g FROM d
+  UNION ALL
+  SELECT NULL, true, unnest(flatten([w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+                         list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])])) FROM e),
+c AS (SELECT doc_id, target, g, count(*) AS n FROM f GROUP BY ALL),
+b AS (
+  SELECT g, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(regexp_extract_all(hex(encode(g)), '..'),
+      lambda x: [('0x' || x[2])::BIGINT, ('0x' || x[1])::BIGINT]))), lambda c, n: xor(c >> 4, [0, 498536548, 997073096, 651767980,
+      1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012,
+      2685067896, 3183342108][(xor(c, n) & 15) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT g FROM c)),
+k AS (SELECT bucket, coalesce(sum(n) FILTER (NOT target), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (target), 0)::DOUBLE AS t FROM c JOIN b USING (g) GROUP BY bucket),
+gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM k) + 10000) / ((s + 1) * ((SELECT sum(t) FROM k) + 10000))))::BIGINT AS gain FROM k),
+w AS (SELECT doc_id, sum(n * gain)::BIGINT AS weight FROM c JOIN b USING (g) JOIN gain USING (bucket) WHERE NOT target GROUP BY doc_id),
+x AS (
+  SELECT doc_id, len(w) AS words, (len(w) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0))::BIGINT AS n_features,
+         coalesce(weight, 0) AS weight, ('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT AS h
+  FROM d LEFT JOIN w USING (doc_id)),
+y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM x),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM y WHERE words >= 20)
+SELECT y.doc_id, n_features, weight, score, CASE WHEN r.rank <= 5 * n // 100 THEN r.rank END AS rank
+FROM y LEFT JOIN r ON r.doc_id = y.doc_id""",
+    "op12_periodic_runs": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'),
+      lambda x: [('0x' || x[2])::BIGINT, ('0x' || x[1])::BIGINT]))), lambda c, n: xor(c >> 4, [0, 498536548, 997073096, 651767980,
+      1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012,
+      2685067896, 3183342108][(xor(c, n) & 15) + 1])), 4294967295) AS h
+  FROM documents),
+a AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM t),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+d AS (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN w
+    ELSE list_transform(range(0, n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) END AS w FROM p),
+u AS (SELECT doc_id, n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d),
+m AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM u x JOIN u y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+g AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m),
+s AS (
+  SELECT doc_id, q AS period, min(i) AS start, count(*) + q AS length FROM g GROUP BY doc_id, q, island
+  HAVING count(*) + q >= greatest(24, 3 * q)),
+r AS (
+  SELECT * FROM s WHERE NOT EXISTS (
+    SELECT 1 FROM s z WHERE z.doc_id = s.doc_id AND z.period < s.period AND z.start <= s.start AND z.start + z.length >= s.start + s.length)),
+b AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs,
+    first({'s': start, 'l': length, 'p': period} ORDER BY (length::DECIMAL(38,0) * 1000000000000) // period DESC, start, period) AS best
+  FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.i) AS kept FROM u LEFT JOIN gone ON gone.doc_id = u.doc_id AND gone.i = u.i
+      WHERE gone.i IS NULL GROUP BY u.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length, best.p::BIGINT AS period,
+  (1000 * best.l // best.p)::BIGINT AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id""",
 }
