@@ -8,6 +8,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import grouped_quantiles
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -62,16 +64,18 @@ def any_per_group(df: DataFrame, key: str, flag: Column, name: str = "any_flag")
 # A8 ---------------------------------------------------------------------------
 def describe_by(df: DataFrame, key: str, value: str, hi: float, lo: float) -> DataFrame:
     """Mean, exact median, min, max and shares at/over ``hi`` and at/under ``lo``;
-    nulls skipped."""
+    nulls skipped. The median comes from counts (``grouped_quantiles``), not from a buffer."""
     v = F.col(value)
-    return df.groupBy(key).agg(
+    stats = df.groupBy(key).agg(
         F.count(v).alias("n"),
         F.round(F.avg(v), 6).alias("mean"),
-        F.round(F.percentile(v, 0.5), 6).alias("median"),
         F.min(v).alias("min"), F.max(v).alias("max"),
         F.round(F.avg(F.when(v.isNotNull(), (v >= hi).cast("double"))), 6).alias("share_hi"),
         F.round(F.avg(F.when(v.isNotNull(), (v <= lo).cast("double"))), 6).alias("share_lo"),
     )
+    median = grouped_quantiles(df, [key], value, [0.5]).select(F.col(key).alias("_key"), F.round("q0", 6).alias("median"))
+    return stats.join(median, F.col(key).eqNullSafe(F.col("_key"))) \
+        .select(key, "n", "mean", "median", "min", "max", "share_hi", "share_lo")
 
 
 # A9 ---------------------------------------------------------------------------

@@ -12,6 +12,7 @@ from ..operators import dedup as D
 from ..operators import evaluate as E
 from ..operators import routing as RO
 from ..operators import sampling as W
+from ..operators.quantiles import grouped_quantiles
 from ..session import keep
 from . import jobs
 from .catalog import SQL_NORM, SQL_PAIRS, register, tb
@@ -68,6 +69,29 @@ def v6_components(spark, d):
     return c.select("doc_id", "cluster")
 
 
+# The sequential choice of the public community routine, one community per recursion step.
+@register("v6_greedy_communities", f"""
+with recursive {SQL_SETS},
+links as (select a as c, b as m from pairs union select b, a from pairs union select a, a from pairs union select b, b from pairs),
+comm as (select c, list(m order by m) as members, row_number() over (order by count(*) desc, c) as rk from links group by c),
+walk(rk, taken, c, got) as (
+  select 0::bigint, []::bigint[], null::bigint, []::bigint[]
+  union all
+  select rk, case when len(g) >= 2 then list_concat(taken, g) else taken end, c, case when len(g) >= 2 then g else []::bigint[] end
+  from (select k.rk, w.taken, k.c, list_filter(k.members, lambda x: not list_contains(w.taken, x)) as g
+        from walk w join comm k on k.rk = w.rk + 1)),
+won as (select unnest(got) as id, c from walk)
+select n.doc_id, coalesce(won.c, r.id) as community, won.c is not null as near_duplicate
+from n join r using (norm) left join won on won.id = r.id""")
+def v6_greedy_communities(spark, d):
+    from ..operators.communities import greedy_communities
+    n, reps, sets = doc_sets(spark, d)
+    won = greedy_communities(D.similar_pairs(sets, THRESHOLD)).withColumnRenamed("member", "rep_id")
+    reps = reps.select(F.md5("norm").alias("nkey"), "rep_id").join(won, "rep_id", "left") \
+        .select("nkey", F.coalesce("community", "rep_id").alias("community"), F.col("community").isNotNull().alias("near_duplicate"))
+    return n.select("doc_id", F.md5("norm").alias("nkey")).join(reps, "nkey").drop("nkey")
+
+
 @register("v6_cluster_sizes", f"""
 with recursive {SQL_SETS},
 edges as (select a, b from pairs union all select b, a from pairs),
@@ -204,10 +228,13 @@ def v11_similarity_report(spark, d):
     from .catalog_vectors import doc_tfidf
     pw, qw = doc_tfidf(spark, d)
     top1 = SP.topk_sparse(qw, pw, 1).select(F.col("q_id").alias("doc_id"), "cos")
-    j = top1.join(tb(spark, d, "documents").select("doc_id", "lang"), "doc_id")
-    return j.rollup("lang").agg(F.count(F.lit(1)).alias("n"),
-                                F.round(F.percentile("cos", 0.5), 6).alias("median_cos"),
-                                F.round(F.avg((F.col("cos") < 0.2).cast("int")), 6).alias("share_below"))
+    j = keep(top1.join(tb(spark, d, "documents").select("doc_id", "lang"), "doc_id").select("lang", "cos"))
+    # the rollup's two levels; null stands for all in the second
+    levels = j.withColumn("level", F.lit(0)).unionByName(j.select(F.lit(None).cast("string").alias("lang"), "cos", F.lit(1).alias("level")))
+    counts = levels.groupBy("level", "lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("cos") < 0.2).cast("int")), 6).alias("share_below"))
+    median = grouped_quantiles(levels, ["level", "lang"], "cos", [0.5]).withColumnsRenamed({"level": "_l", "lang": "_g"})
+    return counts.join(median, F.col("level").eqNullSafe(F.col("_l")) & F.col("lang").eqNullSafe(F.col("_g"))) \
+        .select("lang", "n", F.round("q0", 6).alias("median_cos"), "share_below")
 
 
 # ---------------------------------------------------------------------------

@@ -72,3 +72,24 @@ def s8_read_through(spark, d):
         raise AssertionError("built twice")
 
     return IO.read_through(spark, root, key, again)
+
+
+@register("s8_cached_by_rules_and_files", """
+select case when n_chars < 500 then 'short' else 'long' end as kind, count(*)::bigint as n from documents group by 1""")
+def s8_cached_by_rules_and_files(spark, d):
+    """A cached table whose key holds its rule and the files of its input: once a copy of the
+    input grows and once its rule changes, the next read is built anew."""
+    root = _fresh(spark, "cached")
+    copy = f"{root}/input"
+    docs = tb(spark, d, "documents")
+    docs.filter("doc_id % 2 = 0").write.parquet(copy)
+
+    def kinds(limit):
+        kind = F.when(F.col("n_chars") < limit, "short").otherwise("long").alias("kind")
+        return IO.cached(spark, f"{root}/cache", "kinds", {"short": limit}, [copy], lambda: spark.read.parquet(copy)
+                         .groupBy(kind).agg(F.count(F.lit(1)).alias("n")))
+
+    kinds(500)
+    docs.filter("doc_id % 2 <> 0").write.mode("append").parquet(copy)
+    kinds(100)
+    return kinds(500)

@@ -105,6 +105,49 @@ def config_key(*parts: str) -> str:
     return hashlib.sha256("\x1f".join(parts).encode()).hexdigest()[:16]
 
 
+def rules_hash(*rules) -> str:
+    """Fingerprint of rules given as plain data or objects of plain data, by value: the same for
+    equal content in any process. Sets and mappings count without order, sequences with it."""
+    def plain(x):
+        if isinstance(x, dict):
+            return ["map", *sorted(([plain(k), plain(v)] for k, v in x.items()), key=repr)]
+        if isinstance(x, (set, frozenset)):
+            return ["set", *sorted(map(plain, x), key=repr)]
+        if isinstance(x, (list, tuple)):
+            return ["list", *map(plain, x)]
+        if isinstance(x, (str, bytes, int, float, bool)) or x is None:
+            return [type(x).__name__, repr(x)]
+        if hasattr(x, "pattern") and hasattr(x, "flags"):
+            return ["re", x.pattern, int(x.flags)]
+        if hasattr(x, "__dict__"):
+            return [type(x).__name__, plain(vars(x))]
+        raise TypeError(f"no fingerprint by value for {type(x).__name__}")
+
+    return hashlib.sha256(repr(plain(rules)).encode()).hexdigest()[:16]
+
+
+def files_hash(spark: SparkSession, *paths: str) -> str:
+    """Fingerprint of the files under ``paths``: path, length and time of change of each, listed by
+    Spark's file layer and combined in one aggregation; no content is read. A missing path fails."""
+    from pyspark.errors import AnalysisException
+    h = F.xxhash64("path", "length", "time")
+    other = F.xxhash64("time", "length", "path").cast("decimal(38,0)")
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)) \
+            .select("path", "length", F.unix_micros("modificationTime").alias("time"))
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no input under {paths}") from e
+    n, x, y = files.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(other)).first()
+    return hashlib.sha256(f"{n},{x},{y}".encode()).hexdigest()[:16]
+
+
+def cached(spark: SparkSession, root: str, name: str, rules, inputs: Sequence[str], build) -> DataFrame:
+    """``build()`` kept under ``root`` for as long as ``rules`` and the files under ``inputs`` stay
+    as they are: a changed rule, or an added, changed or removed file, builds anew. Results for
+    earlier keys stay in their own folders."""
+    return read_through(spark, root, f"{name}-{config_key(rules_hash(rules), files_hash(spark, *inputs))}", build)
+
+
 def read_through(spark: SparkSession, root: str, key: str, build) -> DataFrame:
     """Materialize ``build()`` under ``root/key`` once and reuse it while the key (a
     hash of rules and input version) is unchanged. A ``_SUCCESS`` marker makes a
