@@ -119,8 +119,8 @@ def rater_agreement(df: DataFrame, a: str, b: str, weights: str = "index") -> Da
     ``MAX_LEVELS`` labels fail the job."""
     pairs = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")) \
         .agg(F.count(F.lit(1)).alias("c"))
-    # a rubric's labels bound the list; the check below stops a column that is none
-    one = pairs.agg(F.slice(F.collect_list(F.struct("a", "b", "c")), 1, MAX_LEVELS ** 2 + 1).alias("p"))
+    # one pair more than a rubric can have is gathered at most; the check below then fails
+    one = pairs.limit(MAX_LEVELS ** 2 + 1).agg(F.collect_list(F.struct("a", "b", "c")).alias("p"))
     labels = lambda side: F.transform("p", lambda x: x[side])
     one = one.withColumn("lv", F.array_sort(F.array_union(labels("a"), labels("b"))))
     one = one.withColumn("p", F.when(F.size("lv") <= MAX_LEVELS, F.col("p")).otherwise(

@@ -6,29 +6,62 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import keep
+
 #: Pool blocks get smaller, down to this many rows, while there are idle partitions.
 LEAST_ROWS = 256
+#: Keys whose plan, one row each, is broadcast; beyond, it is joined by a shuffle.
+SMALL_PLAN = 50_000
 
 
 def cells(queries: DataFrame, pool: DataFrame, q_id: str, p_id: str, keys: list[str], q_rows: int, p_rows: int):
     """(grouped queries, grouped pool) for ``cogroup``: every pair of a query block of about
-    ``q_rows`` and a pool block of about ``p_rows`` rows meets in one cell; with ``keys``
-    only blocks of one key do."""
-    nq, np_ = queries.count(), pool.count()
+    ``q_rows`` and a pool block of about ``p_rows`` rows meets in one cell. With ``keys`` only
+    blocks of one key do, and each key is cut by its own size: a row is copied as often as the
+    other side of its own key has blocks, whatever other keys hold. Keys that one side lacks
+    have no cell; null keys meet null keys."""
     # both sides may be one table: a column of its own each, or cogroup cannot tell them apart
     pool = pool.select(*[F.col(c).alias(c) for c in pool.columns])
     parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    qb = max(1, -(-nq // q_rows))
-    pb = max(1, -(-np_ // p_rows), min(parts // qb, np_ // LEAST_ROWS))
-    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.withColumn("_qb", own(q_id, qb)).withColumn("_pb", each(pb))
-    p = pool.withColumn("_pb", own(p_id, pb)).withColumn("_qb", each(qb))
+    if keys:
+        q, p = _planned(queries, pool, keys, q_rows, p_rows, parts)
+        qb, pb = F.col("_qn"), F.col("_pn")
+    else:
+        nq, np_ = queries.count(), pool.count()
+        n = max(1, -(-nq // q_rows))
+        q, p, qb, pb = queries, pool, F.lit(n), F.lit(max(1, -(-np_ // p_rows), min(parts // n, np_ // LEAST_ROWS)))
+    own = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    q = q.withColumn("_qb", own(q_id, qb)).withColumn("_pb", each(pb)).drop("_qn", "_pn")
+    p = p.withColumn("_pb", own(p_id, pb)).withColumn("_qb", each(qb)).drop("_qn", "_pn")
     cell = [*keys, "_qb", "_pb"]
     n = max(parts, 1)
     return q.repartition(n, *cell).groupBy(*cell), p.repartition(n, *cell).groupBy(*cell)
 
 
+def _planned(queries: DataFrame, pool: DataFrame, keys: list[str], q_rows: int, p_rows: int, parts: int):
+    """Both sides with the numbers of blocks of their key, ``_qn`` and ``_pn``."""
+    names = [f"_key{i}" for i in range(len(keys))]
+
+    def sizes(df, name):
+        return df.groupBy(*[F.col(k).alias(x) for k, x in zip(keys, names)]).agg(F.count(F.lit(1)).alias(name))
+
+    a, b = sizes(queries, "_q"), sizes(pool, "_p")
+    b = b.select(*[F.col(x).alias(x + "p") for x in names], "_p")
+    plan = keep(a.join(b, [F.col(x).eqNullSafe(F.col(x + "p")) for x in names]).select(
+        *names, F.ceil(F.col("_q") / q_rows).cast("int").alias("_qn"), "_p"))
+    m = plan.count()
+    spread = parts // max(1, plan.agg(F.sum("_qn")).first()[0] or 1)  # idle partitions get smaller pool blocks
+    plan = plan.withColumn("_pn", F.greatest(F.ceil(F.col("_p") / p_rows), F.least(F.lit(spread), F.floor(F.col("_p") / LEAST_ROWS)), F.lit(1)).cast("int"))
+
+    def with_plan(df):
+        one = plan.select(*[F.col(x).alias(x) for x in names], "_qn", "_pn")
+        one = F.broadcast(one) if m <= SMALL_PLAN else one
+        return df.join(one, [F.col(k).eqNullSafe(F.col(x)) for k, x in zip(keys, names)]).drop(*names)
+
+    return with_plan(queries), with_plan(pool)
+
+
 def best_k(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of exactly the k best finite scores per row, ties at nine digits to the
     smaller id, so the cut does not depend on how the pool was dealt."""

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..session import keep
 from . import sampling as W
+from . import vectors as V
 
 
 def policy_table(spark: SparkSession, policy: dict[str, tuple[str, Sequence[str]]] | None = None) -> DataFrame:
@@ -63,6 +65,28 @@ def apply_gates(c: DataFrame, policy: DataFrame, tau=P.TAU, template_exempt: str
         .withColumn("gated_score", F.when(usable, F.col("cos")).otherwise(F.lit(0.0)))
 
 
+def gate_by_pool(queries: DataFrame, corpus: DataFrame, policy: DataFrame, id_col: str, vec_col: str, cls: str, type_col: str,
+                 template: str, k: int = P.TOP_K, pairs: int = P.RANDOM_PAIRS, pctile: float = P.TAU_PCTILE, seed=0,
+                 template_exempt: str = "non_english") -> DataFrame:
+    """Candidates of every query from the pool of its class's acceptable types, gated at the
+    threshold of that pool: the ``pctile`` similarity of random pairs inside it. Classes that
+    accept the same types share a pool and its threshold; classes of policy ``none`` have no
+    pool and no candidates. A pool too small for a pair has no threshold and passes nothing."""
+    keys = policy.filter((F.col("policy") != "none") & (F.size("types") > 0))
+    types = F.broadcast(keys.select("pool_key", F.explode("types").alias("_type")).distinct())
+    pool = keep(corpus.join(types, corpus[type_col] == types["_type"]).select("pool_key", id_col, vec_col, cls, type_col, template))
+    tau = V.calibrate(pool, id_col, vec_col, pairs, pctile, seed, key_col="pool_key").select("pool_key", "tau")
+    known = F.broadcast(keys.select(F.col("cls").alias("_cls"), "pool_key"))
+    q = queries.join(known, queries[cls] == known["_cls"]).select("pool_key", id_col, vec_col, cls)
+    c = V.topk_dense(q, pool, k, id_col, vec_col, key_col="pool_key")
+    c = c.join(q.select(F.col(id_col).alias("q_id"), F.col(cls).alias("q_class"), "pool_key"), "q_id") \
+        .join(pool.select("pool_key", F.col(id_col).alias("n_id"), F.col(cls).alias("n_class"), F.col(type_col).alias("n_type"),
+                          F.col(template).alias("n_template")), ["pool_key", "n_id"])
+    c = c.join(F.broadcast(tau), "pool_key", "left")  # one row per pool
+    g = apply_gates(c, policy, "tau", template_exempt)
+    return g.withColumn("g1_lexical", F.coalesce("g1_lexical", F.lit(False))).withColumn("usable", F.coalesce("usable", F.lit(False)))
+
+
 # G3 ---------------------------------------------------------------------------
 def hit_table(c: DataFrame, queries: DataFrame, q_id: str = "q_id") -> DataFrame:
     """Per query: old hit (any candidate passing G1) and new hit (any usable), reindexed

@@ -271,3 +271,60 @@ def p4_default_labeler(spark, d):
     e = emb(spark, d)
     log = e.filter(F.col("cls") < "c5").select(F.col("id").alias("n_id"), F.col("cls").alias("label"))
     return RT.label_neighbours(V.topk_dense(e, e, 5, "id", "vec"), log=log).select("q_id", "n_id", "label")
+
+
+# Links at 0.3: the unit vectors of the test tables hold no pair at 0.95, the library's default.
+LINK_COSINE = 0.3
+
+
+@register("j11_cosine_links", f"""
+with e as (select vec_id, embedding::double[] as embedding from embeddings),
+c as (select embedding, min(vec_id) as class_id from e group by 1),
+l as (select a.vec_id, count(*) as n from e a join e b on a.vec_id <> b.vec_id
+      where a.embedding = b.embedding or round({SQL_COS}, 9) >= {LINK_COSINE} group by 1)
+select e.vec_id, c.class_id, coalesce(l.n, 0)::bigint as n_links from e join c on e.embedding = c.embedding left join l on l.vec_id = e.vec_id""")
+def j11_cosine_links(spark, d):
+    from ..operators.cosine_join import cosine_links
+    return cosine_links(tb(spark, d, "embeddings"), "vec_id", "embedding", LINK_COSINE).withColumnRenamed("id", "vec_id")
+
+
+@register("j11_cosine_pairs", f"""
+with e as (select embedding::double[] as embedding, min(vec_id) as vec_id from embeddings group by 1)
+select a.vec_id as a, b.vec_id as b from e a join e b on a.vec_id < b.vec_id where round({SQL_COS}, 9) >= {LINK_COSINE}""")
+def j11_cosine_pairs(spark, d):
+    """Pairs of classes of equal vectors; ``j11_cosine_links`` has every row's class."""
+    from ..operators.cosine_join import cosine_pairs
+    return cosine_pairs(tb(spark, d, "embeddings"), "vec_id", "embedding", LINK_COSINE)
+
+
+# Gates by the threshold of each pool (G2): a pool for each set of acceptable types, a message's
+# neighbours come from its class's pool and pass G1 at that pool's own threshold.
+_POOLS = f"""(select k.pool_key, e.vec_id, e.embedding, 'c' || e.label::varchar as cls, e.embedding[3] > 0.25 as n_template, t.type as n_type
+  from (select *, case when embedding[2] >= 0 then 'answer' else 'question' end as n_type from embeddings) e
+  join (select distinct array_to_string(list_sort(types), '|') as pool_key, unnest(types) as type from {_policy_sql()} p where policy <> 'none') t on t.type = e.n_type
+  join (select distinct array_to_string(list_sort(types), '|') as pool_key from {_policy_sql()} p where policy <> 'none') k on k.pool_key = t.pool_key)"""
+
+
+@register("g2_gates_by_pool", f"""
+with pool as {_POOLS},
+a as (select pool_key, vec_id as a_id, embedding as a_v, row_number() over (partition by pool_key order by md5('0:a:' || vec_id::varchar), vec_id) as i from pool),
+b as (select pool_key, vec_id as b_id, embedding as b_v, row_number() over (partition by pool_key order by md5('0:b:' || vec_id::varchar), vec_id) as i from pool),
+s as (select a.pool_key, list_dot_product(a_v::double[], b_v::double[]) / (sqrt(list_dot_product(a_v::double[], a_v::double[])) * sqrt(list_dot_product(b_v::double[], b_v::double[]))) as s
+  from a join b on a.pool_key = b.pool_key and a.i = b.i where a_id <> b_id and a.i <= {P.RANDOM_PAIRS}),
+tau as (select pool_key, quantile_cont(s, {P.TAU_PCTILE}) as tau from s group by 1),
+pol as {_policy_sql()},
+q as (select e.vec_id, e.embedding, 'c' || e.label::varchar as cls, pol.types, array_to_string(list_sort(pol.types), '|') as pool_key
+  from embeddings e join pol on pol.cls = 'c' || e.label::varchar where pol.policy <> 'none'),
+t as (select * from (select a.vec_id as q_id, a.cls as q_class, a.types, b.vec_id as n_id, b.cls as n_class, b.n_type, b.n_template, a.pool_key, {SQL_COS} as cos,
+  row_number() over (partition by a.vec_id order by round({SQL_COS}, 9) desc, b.vec_id) - 1 as rank
+  from q a join pool b on a.pool_key = b.pool_key and a.vec_id <> b.vec_id) where rank < 5),
+g as (select t.*, tau.tau, cos >= tau as g1_lexical, list_contains(types, n_type) as g2_form, n_class = q_class as g3_topic, not n_template or q_class = 'c8' as g4_template
+  from t join tau on t.pool_key = tau.pool_key)
+select q_id, n_id, rank::bigint as rank, pool_key, round(tau, 6) as tau, g1_lexical, g2_form, g3_topic, g4_template, {SQL_USABLE} as usable,
+  round(case when {SQL_USABLE} then cos else 0 end, 6) as gated_score from g""")
+def g2_gates_by_pool(spark, d):
+    e = emb(spark, d)
+    policy = RT.policy_table(spark, EMB_POLICY)
+    g = RT.gate_by_pool(e, e, policy, "id", "vec", "cls", "n_type", "n_template", 5, template_exempt="c8")
+    return g.select("q_id", "n_id", F.col("rank").cast("bigint").alias("rank"), "pool_key", F.round("tau", 6).alias("tau"),
+                    "g1_lexical", "g2_form", "g3_topic", "g4_template", "usable", F.round("gated_score", 6).alias("gated_score"))
