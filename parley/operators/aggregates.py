@@ -123,6 +123,16 @@ def decomposition(df: DataFrame, buckets: Sequence[tuple[str, Column]], total_na
     return df.agg(*aggs)
 
 
+def answered_at_most(df: DataFrame, buckets: Sequence[tuple[str, Column, bool]], total_name="total") -> DataFrame:
+    """``decomposition`` for (name, condition, answers) with two columns more: ``answered_at_most``,
+    the rows in buckets that answer anything, and ``resolves_nothing``, the others. The rest that
+    no bucket takes counts as answered, so the bound holds whatever it is."""
+    out = decomposition(df, [(name, cond) for name, cond, _ in buckets], total_name)
+    silent = sum((F.col(name) for name, _, answers in buckets if not answers), F.lit(0))
+    return out.withColumn("answered_at_most", (F.col(total_name) - silent).cast("bigint")) \
+        .withColumn("resolves_nothing", silent.cast("bigint"))
+
+
 # A14 ---------------------------------------------------------------------------
 def cluster_sizes(df: DataFrame, cluster: str, id_col: str, text_col: str, top: int | None = None) -> DataFrame:
     g = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"),

@@ -7,6 +7,7 @@ the number of class pairs.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import rules as R
 from ..functions import text as T
-from .aggregates import pivot_counts
+from .aggregates import answered_at_most, describe_by, pivot_counts
 
 MAX_LEVELS = 40  # labels of a rubric
 
@@ -196,3 +197,70 @@ def rule_counters(df: DataFrame, text: str, label: str, final: str) -> DataFrame
         .alias("downgrade_rejected"),
         F.count_if(R.looks_non_english(text)).alias("non_english_rule"),
         F.count_if(F.col(final) == P.OUT_OF_SCOPE).alias("rerouted"))
+
+
+# E13 --------------------------------------------------------------------------
+def _long(df: DataFrame, section: str, part: str | Column, key: Column, **values: Column) -> DataFrame:
+    """(section, part, key, value): one row per given value, its name behind the key."""
+    part = F.lit(part) if isinstance(part, str) else part
+    pairs = F.array(*[F.struct(F.concat_ws(":", key, F.lit(name)).alias("key"), v.cast("double").alias("value")) for name, v in values.items()])
+    return df.select(F.lit(section).alias("section"), part.cast("string").alias("part"), F.explode(pairs).alias("x")) \
+        .select("section", "part", "x.key", F.round("x.value", 6).alias("value"))
+
+
+def dims_long(scores: DataFrame, dims: Sequence[str], *more: str) -> DataFrame:
+    """(more.., dim, score) of all scores that are numbers."""
+    cells = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).try_cast("double").alias("score")) for d in dims])
+    return scores.select(*more, F.explode(cells).alias("x")).select(*more, "x.dim", "x.score").filter(F.col("score").isNotNull())
+
+
+def score_parts(scores: DataFrame, part: str, dims: Sequence[str], hi: float = 4, lo: float = 2) -> DataFrame:
+    """Mean, median, share of high and of low scores, and number per dimension."""
+    s = describe_by(dims_long(scores, dims), "dim", "score", hi, lo)
+    return _long(s, "C", part, F.col("dim"), mean=F.col("mean"), median=F.col("median"), share_hi=F.col("share_hi"), share_lo=F.col("share_lo"), n=F.col("n"))
+
+
+def full_rollup(preds: DataFrame, domain: DataFrame, decisions: DataFrame, human: DataFrame, judge: DataFrame,
+                dims: Sequence[str], buckets: Sequence[tuple[str, Column, bool]], id_col: str = "id") -> DataFrame:
+    """The whole evaluation as (section, part, key, value).
+
+    A, labels: accuracy per class, naive and reweighted accuracy, confusion counts (E1-E4).
+    B, actions: agreement with the expected action, circular rows, counts by expected and taken
+    action (E9). C, replies: scores of a person on random rows, their means on all rows, and
+    their weighted kappa with the judge's (A8, E7); the judge's scores, means per route, means
+    on flagged and other drafts (E10), and how often each anchor is used (A9). D: what
+    auto-handled rows got, and how many at most were answered (A13).
+
+    ``preds`` (truth, pred); ``decisions`` (id, intent, text, route, action, flagged);
+    ``human`` (id, sample_type, dims..) with scores as text; ``judge`` (id, dims..). Each input
+    is reduced to counts or grouped means before anything is joined or united."""
+    exp, circ = expected_action(F.col("intent"), F.col("text"))
+    act = decisions.withColumn("expected", exp).withColumn("circular", circ)
+    per, counts = per_class(preds, domain), pair_counts(preds)
+    pairs = act.groupBy("expected", "action").agg(F.count(F.lit(1)).alias("n"), F.count_if("circular").alias("c"))
+    agree = pairs.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("expected") == F.col("action"), F.col("n")).otherwise(0)).alias("ok"), F.sum("c").alias("c"))
+    both = dims_long(human, dims, id_col).withColumnRenamed("score", "h").join(dims_long(judge, dims, id_col).withColumnRenamed("score", "j"), [id_col, "dim"])
+    routed = dims_long(judge, dims, id_col).join(decisions.select(id_col, "route", "flagged"), id_col)
+    by_route = routed.groupBy("route", "dim").agg(F.avg("score").alias("m"))
+    crossed = routed.groupBy("flagged", "dim").agg(F.avg("score").alias("m"), F.count(F.lit(1)).alias("n"))
+    anchors = dims_long(judge, dims).groupBy("dim", F.col("score").cast("int").alias("anchor")).agg(F.count(F.lit(1)).alias("n"))
+    people = dims_long(human, dims).groupBy("dim").agg(F.avg("score").alias("m"))
+    auto = answered_at_most(decisions.filter(F.col("action") == "auto_handle"), buckets)
+    parts = [
+        _long(per, "A", "per_class", F.col("cls"), accuracy=F.col("accuracy"), n=F.col("n")),
+        _long(blended_and_reweighted(preds, domain), "A", "blended", F.lit("all"), naive=F.col("naive"), reweighted=F.col("reweighted")),
+        _long(counts, "A", "confusion", F.concat_ws(">", "truth", "pred"), n=F.col("n")),
+        _long(agree, "B", "conformance", F.lit("all"), n=F.col("n"), agree=F.col("ok"), agreement=F.col("ok") / F.col("n"), circular=F.col("c")),
+        _long(pairs, "B", "crosstab", F.concat_ws(">", "expected", "action"), n=F.col("n")),
+        score_parts(human.filter(F.col("sample_type") == "random"), "human_random", dims),
+        _long(people, "C", "human_all", F.col("dim"), mean=F.col("m")),
+        score_parts(judge, "judge", dims),
+        _long(by_route, "C", "judge_by_route", F.concat_ws(":", "route", "dim"), mean=F.col("m")),
+        _long(crossed, "C", "judge_cross_check", F.concat_ws(":", F.when(F.col("flagged"), "flagged").otherwise("unflagged"), "dim"), mean=F.col("m"), n=F.col("n")),
+        _long(anchors, "C", "anchors", F.concat_ws(":", "dim", F.col("anchor").cast("string")), n=F.col("n")),
+        _long(auto, "D", "auto_handle", F.lit("rows"), **{c: F.col(c) for c in auto.columns}),
+    ]
+    for dim in dims:
+        k = rater_agreement(both.filter(F.col("dim") == dim).select("h", "j"), "h", "j")
+        parts.append(_long(k, "C", "agreement", F.lit(dim), n=F.col("n"), exact=F.col("exact"), within1=F.col("within1"), kappa_w=F.col("kappa_w"), bias=F.col("bias")))
+    return reduce(DataFrame.unionByName, parts)
