@@ -18,12 +18,13 @@ from ..session import keep
 MAX_ROUNDS = 200
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
     """(node, component) for every end point of ``edges``; component is the least node that
     can be reached. Null ends and loops are ignored; an empty table gives no row. Runs until
-    a round changes nothing and raises if that never happens."""
+    a round changes nothing and raises if that never happens. ``rows`` is about the number of
+    edges, if known: few edges then make few files."""
     e = keep(edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), rows)
     state = _state(e)
     for _ in range(MAX_ROUNDS):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,7 +32,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         hub = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(hub, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = keep(small.unionByName(hub.select("u", F.col("m").alias("v"))).distinct())
+        e = keep(small.unionByName(hub.select("u", F.col("m").alias("v"))).distinct(), rows=2 * state[0])
         before, state = state, _state(e)
         if state == before:
             roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))

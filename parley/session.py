@@ -69,11 +69,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def keep(df: DataFrame) -> DataFrame:
+#: Rows of a narrow table that are worth a file.
+FILE_ROWS = 20_000
+
+
+def few_files(df: DataFrame, rows: int) -> int | None:
+    """Number of files for a table of about ``rows`` rows where that is less than the session's
+    shuffle partitions, else None: small tables of iterative jobs need no file per partition."""
+    n = max(1, -(-int(rows) // FILE_ROWS))
+    return n if n < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def keep(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back: later uses do not compute it
-    again, the lineage is cut, and a lost executor costs nothing that was finished."""
+    again, the lineage is cut, and a lost executor costs nothing that was finished. ``rows``,
+    where the caller can tell about how many there are, bounds the number of files; the last
+    stage of ``df`` then runs in as many tasks."""
     path = f"{checkpoint_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    files = None if rows is None else few_files(df, rows)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
