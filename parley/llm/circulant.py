@@ -147,10 +147,11 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _check(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose full sets are similar enough."""
+    asked = pairs.count()
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts"))
     member = pairs.join(salts, "a").select(F.col("b").alias("rk"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
     hub = salts.select(F.col("a").alias("rk"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    seats = store(member.unionByName(hub), "seats")
+    seats = store(member.unionByName(hub), "seats", 2 * asked)
     groups = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-seats.count() // TASK_ROWS))
     texts = rows.select("rk", "text").join(seats.hint("merge"), "rk").groupBy("rk", "hub", "salt").agg(F.first("text").alias("text"))
     seated = texts.withColumn("g", F.pmod(F.xxhash64("hub", "salt"), F.lit(groups)).cast("int"))
@@ -176,7 +177,7 @@ def _check(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                         out[0].append(int(hub[i])), out[1].append(int(rk[k]))
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
-    return store(seated.groupBy("g").applyInArrow(lambda t: check(t), "a long, b long"), "links")
+    return store(seated.groupBy("g").applyInArrow(lambda t: check(t), "a long, b long"), "links", asked, heavy=True)
 
 
 def _similar_size(x: str, y: str, percent: int):
@@ -215,7 +216,7 @@ def _mates(band, cell, two, part, n, bands, sig, percent, agree):
     return [np.concatenate(v) for v in zip(*out)]
 
 
-def _check_cells(texts: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+def _check_cells(texts: DataFrame, placed: DataFrame, percent: int, members: int) -> DataFrame:
     """Links between all members of one bucket and different components. Buckets are cut into
     cells of about ``CELL`` members; each two cells are a block, whose pairs are found from
     the signatures in one task and travel as one list per member, not as rows."""
@@ -248,7 +249,7 @@ def _check_cells(texts: DataFrame, placed: DataFrame, percent: int) -> DataFrame
 
     schema = "block long, rk long, mates binary"
     found = dealt.withColumn("g", F.pmod("block", F.lit(8 * parts)).cast("int")).groupBy("g").applyInArrow(lambda t: find(t), schema)
-    seats = store(found, "seats")
+    seats = store(found, "seats", members, heavy=True)
     groups = max(parts, -(-seats.count() // TASK_ROWS))
     seated = texts.select("rk", "text").join(seats.hint("merge"), "rk").groupBy("rk", "block").agg(F.first("text").alias("text"), F.first("mates").alias("mates"))
 
@@ -269,14 +270,14 @@ def _check_cells(texts: DataFrame, placed: DataFrame, percent: int) -> DataFrame
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
     seated = seated.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
-    return store(seated.groupBy("g").applyInArrow(lambda t: check(t), "a long, b long"), "links")
+    return store(seated.groupBy("g").applyInArrow(lambda t: check(t), "a long, b long"), "links", members, heavy=True)
 
 
-def _joined(parts: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Components of ``parts`` and ``links`` together."""
+def _joined(parts: DataFrame | None, links: DataFrame, about: int) -> DataFrame:
+    """Components of ``parts`` and ``links`` together, ``about`` so many links."""
     if parts is not None:
         links = links.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    return connected_components(links)
+    return connected_components(links, rows=about)
 
 
 def _open(seats: DataFrame, parts: DataFrame) -> DataFrame:
@@ -292,46 +293,49 @@ def _groups(docs: DataFrame, percent: int) -> DataFrame:
     rows = _rows(docs)
     bands, agree = shape(percent)
     signed = store(signatures(rows, bands), "signed")
+    n = signed.count()
     order = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), F.col("rk").alias("rk"))
     same = ["n", "s1", "s2"]
     classes = store(signed.filter("n > 0").groupBy(*same).agg(
         F.min(order).alias("first"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).select(
-        *same, F.col("first.rk").alias("rk"), F.col("first.doc").alias("doc"), "bands", "sig"), "classes")
+        *same, F.col("first.rk").alias("rk"), F.col("first.doc").alias("doc"), "bands", "sig"), "classes", n)
     seen = classes.select("rk", "n", F.posexplode("bands").alias("band", "name")).select(
         F.xxhash64("band", "name").alias("bucket"), "band", "rk", "n")
     hubs = seen.groupBy("bucket").agg(F.min(F.struct("rk", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = store(seen.join(hubs.select("bucket", "hub"), "bucket"), "members")
+    members = store(seen.join(hubs.select("bucket", "hub"), "bucket"), "members", 2 * n)
     beside = members.filter((F.col("rk") != F.col("hub.rk")) & _similar_size("n", "hub.n", percent)).select(F.col("hub.rk").alias("a"), F.col("rk").alias("b"))
 
     # one hub for each class
     pairs = beside.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    parts = _joined(None, _check(rows, store(pairs, "pairs"), percent))
+    parts = _joined(None, _check(rows, store(pairs, "pairs", n), percent), n)
 
     # buckets that still hold several components, and the texts of their members
     seats = members.select("bucket", "band", "rk", "n")
     placed = _open(seats, parts).join(classes.select("rk", "bands", "sig"), "rk")
-    placed = store(placed, "open")
-    texts = store(rows.join(placed.select("rk").distinct().hint("merge"), "rk", "left_semi"), "texts")
+    placed = store(placed, "open", n)
+    texts = store(rows.join(placed.select("rk").distinct().hint("merge"), "rk", "left_semi"), "texts", n)
 
     # neighbours in a random order of each bucket's members, while that finds links
     for turn in range(MAX_TURNS):
         cell = [F.col("bucket"), F.pmod(F.xxhash64("rk", F.lit(2 * turn)), F.ceil(F.col("size") / CELL))]
         near = Window.partitionBy(*cell).orderBy(F.xxhash64("rk", F.lit(2 * turn + 1)))
         other = F.struct(F.col("rk").alias("a"), F.col("part").alias("a_part"), F.col("n").alias("a_n"), F.col("sig").alias("a_sig"))
-        looked = placed.select("rk", "part", "n", "sig", F.array(*[F.lag(other, i).over(near) for i in range(1, LOOK + 1)]).alias("o"))
-        pairs = looked.withColumn("o", F.explode(F.filter("o", lambda x: x.isNotNull()))).select("rk", "part", "n", "sig", "o.*")
-        pairs = pairs.filter((F.col("part") != F.col("a_part")) & _similar_size("n", "a_n", percent) & _agree("sig", "a_sig", bands * ROWS, agree)) \
-            .select(F.least("a", "rk").alias("a"), F.greatest("a", "rk").alias("b")).distinct()
-        pairs = store(pairs, "pairs")
+        looked = placed.select("rk", "part", "n", "sig", *[F.lag(other, i).over(near).alias(f"o{i}") for i in range(1, LOOK + 1)])
+        # tested before they become rows: only pairs that need a check do
+        asks = [F.when((F.col("part") != F.col(f"o{i}.a_part")) & _similar_size("n", f"o{i}.a_n", percent)
+                       & _agree("sig", f"o{i}.a_sig", bands * ROWS, agree),
+                       F.struct(F.least(f"o{i}.a", "rk").alias("a"), F.greatest(f"o{i}.a", "rk").alias("b"))) for i in range(1, LOOK + 1)]
+        pairs = looked.select(F.explode(F.filter(F.array(*asks), lambda x: x.isNotNull())).alias("p")).select("p.*").distinct()
+        pairs = store(pairs, "pairs", n)
         links = _check(texts, pairs, percent)
         asked, found = pairs.count(), links.count()
         if found:
-            parts = _joined(parts, links)
-            placed = store(_open(placed.select("bucket", "band", "rk", "n", "bands", "sig"), parts), "open")
+            parts = _joined(parts, links, n)
+            placed = store(_open(placed.select("bucket", "band", "rk", "n", "bands", "sig"), parts), "open", n)
         if found * RETURN <= asked:
             break
 
-    parts = _joined(parts, _check_cells(texts, placed, percent))
+    parts = _joined(parts, _check_cells(texts, placed, percent, n), n)
 
     named = classes.select(*same, "rk", "doc").join(parts.withColumnRenamed("node", "rk"), "rk", "left").withColumn("part", F.coalesce("component", "rk"))
     first = named.groupBy("part").agg(F.min(F.struct("doc", "rk")).alias("best"))

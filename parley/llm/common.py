@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.session import few_files
+
 U = np.uint64
 GOLD = U(0x9E3779B97F4A7C15)
 NULL_ID = np.iinfo(np.int64).max  # a null doc_id ranks after every other id
@@ -31,11 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, rows: int | None = None, heavy: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: this cuts the lineage, survives
-    lost executors, and lets Spark drop the shuffle files of the job that made it."""
+    lost executors, and lets Spark drop the shuffle files of the job that made it. ``rows``,
+    where the caller can tell about how many there are, bounds the number of files: the last
+    stage runs in as many tasks or, if it is ``heavy``, hands its rows to them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    files = None if rows is None else few_files(df, rows)
+    if files is not None:
+        df = df.repartition(files) if heavy else df.coalesce(files)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:

@@ -3,7 +3,7 @@ import hashlib
 import random
 
 import pytest
-from brute import corpus, hard_rows, sha
+from brute import corpus, hard_rows, near, sha
 from llm_helpers import frame, rows_of  # noqa: F401
 from pyspark.sql import functions as F
 
@@ -263,7 +263,6 @@ def test_bpe_word_cache_starts_anew(monkeypatch):
 
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
-    from parley.llm import circulant
     docs = queries.table(spark, SF, "documents")
     labels, bench = (queries.table(spark, SF, t) for t in ("labels", "benchmark"))
     columns, before = docs.columns, docs.count()
@@ -281,8 +280,8 @@ def test_pipeline_stages(spark, tmp_path):
             clean = {r["doc_id"] for r in labels.filter("quality = 1 and toxic = 0").collect()}
             assert given & clean <= ids < given
         if name == "near_dedup":
-            groups = {r["component_id"] for r in circulant.near_duplicates(docs).collect()}
-            assert ids == groups
+            rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+            assert ids == {c for _, _, c in near(rows, percent=80)}
         if name == "decontamination":
             assert given - ids == {r["doc_id"] for r in templates.leaks(docs, bench).collect()}
         if name == "bpe":
