@@ -184,6 +184,11 @@ def _similar_size(x: str, y: str, percent: int):
     return F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
 
 
+def _first_shared(x: str, y: str, bands: int, band):
+    """Whether ``band`` is the first one whose names are the same."""
+    return F.coalesce(*[F.when(F.col(x)[i] == F.col(y)[i], i) for i in range(bands)]) == band
+
+
 def _agree(x: str, y: str, coordinates: int, agree: int):
     """Whether two signatures agree in enough coordinates: bytes that differ, folded to one
     bit each and counted."""
@@ -315,15 +320,16 @@ def _groups(docs: DataFrame, percent: int) -> DataFrame:
     placed = store(placed, "open", n)
     texts = store(rows.join(placed.select("rk").distinct().hint("merge"), "rk", "left_semi"), "texts", n)
 
-    # neighbours in a random order of each bucket's members, while that finds links
+    # neighbours in a random order of each bucket's members, while that finds links; a pair is
+    # asked for only in the first bucket that both share, as copies share most of theirs
     for turn in range(MAX_TURNS):
         cell = [F.col("bucket"), F.pmod(F.xxhash64("rk", F.lit(2 * turn)), F.ceil(F.col("size") / CELL))]
         near = Window.partitionBy(*cell).orderBy(F.xxhash64("rk", F.lit(2 * turn + 1)))
-        other = F.struct(F.col("rk").alias("a"), F.col("part").alias("a_part"), F.col("n").alias("a_n"), F.col("sig").alias("a_sig"))
-        looked = placed.select("rk", "part", "n", "sig", *[F.lag(other, i).over(near).alias(f"o{i}") for i in range(1, LOOK + 1)])
+        other = F.struct(F.col("rk").alias("a"), F.col("part").alias("a_part"), F.col("n").alias("a_n"), F.col("sig").alias("a_sig"), F.col("bands").alias("a_bands"))
+        looked = placed.select("band", "rk", "part", "n", "sig", "bands", *[F.lag(other, i).over(near).alias(f"o{i}") for i in range(1, LOOK + 1)])
         # tested before they become rows: only pairs that need a check do
         asks = [F.when((F.col("part") != F.col(f"o{i}.a_part")) & _similar_size("n", f"o{i}.a_n", percent)
-                       & _agree("sig", f"o{i}.a_sig", bands * ROWS, agree),
+                       & _first_shared("bands", f"o{i}.a_bands", bands, F.col("band")) & _agree("sig", f"o{i}.a_sig", bands * ROWS, agree),
                        F.struct(F.least(f"o{i}.a", "rk").alias("a"), F.greatest(f"o{i}.a", "rk").alias("b"))) for i in range(1, LOOK + 1)]
         pairs = looked.select(F.explode(F.filter(F.array(*asks), lambda x: x.isNotNull())).alias("p")).select("p.*").distinct()
         pairs = store(pairs, "pairs", n)
