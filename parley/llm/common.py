@@ -6,7 +6,6 @@ gives the same name to the same content without exchanging a dictionary.
 """
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -15,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.session import few_files
+from parley.session import checkpoint_dir, few_files
 
 U = np.uint64
 GOLD = U(0x9E3779B97F4A7C15)
@@ -24,13 +23,9 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh local one only where the
-    session names none (tests on one machine)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="parley-llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    """The folder named by ``spark.checkpoint.dir``; a fresh local one only where a session on
+    one machine names none (tests). A cluster that names none is an error."""
+    return checkpoint_dir(spark)
 
 
 def store(df: DataFrame, name: str, rows: int | None = None, heavy: bool = False) -> DataFrame:

@@ -1,11 +1,11 @@
-"""Suffix-array dedup by distributed prefix doubling.
+"""Suffix-array dedup by content-anchored windows of doubled ranks.
 
 Every text position has a rank by its next h bytes; the rank by 2h bytes is that of the pair
 (rank at i, rank at i + h). Ranks are content names, equal exactly where the bytes are equal,
-so the doublings up to ``FIRST`` bytes need no exchange. Then Spark groups (sorts) positions
-by rank and reranks: positions whose rank is unique drop out, the others go on to the
-threshold. A position is sent if it is the least rank of the windows over it (their
-suffixes' sampled order); the windows that share it are settled with it (see ``repeats``).
+so all doublings run inside a task and no rank pair goes through Spark. A window of
+``threshold`` bytes is anchored at the least rank by ``FIRST`` bytes among its positions
+(winnowing); Spark groups runs of windows by the anchor's name and compares them by their
+whole content (see ``repeats``). This replaces the dealt rounds of sorting and reranking.
 
 Nulls: a null text is empty, a null doc_id ranks after all others. A text shorter than the
 threshold keeps all bytes. Repeated rows: equal ids never remove each other's bytes. Other

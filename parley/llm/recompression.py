@@ -6,10 +6,11 @@ left half of the names and whose right symbol falls in the right half by a name
 pair. The names are made of the names they replace, the halves of the names too, so equal
 substrings anywhere in the corpus get the same symbols except near their ends; no
 dictionary has to be exchanged to name a pair globally. Each symbol carries the range of
-words that settled it. After ``ROUNDS`` rounds the high-level symbols go to Spark's grouping
-by name, together with the ``CONTEXT`` words that settle them: a symbol that stands once
-reveals that no window holding it repeats; shared ones lead to the windows, whose whole
-content is then compared (see ``repeats``).
+words that settled it. All ``ROUNDS`` rounds run inside a task, over one chunk of texts. Spark
+then groups the high-level symbols by name, together with the ``CONTEXT`` words that settle
+them: they are the anchors of windows. A symbol that stands once reveals that no window
+holding it repeats; shared ones lead to the windows, whose whole content is then compared
+(see ``repeats``). No round exchanges pair names through Spark.
 
 A window in which no symbol is settled (long runs of one word) is compared by itself.
 
