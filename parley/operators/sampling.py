@@ -79,10 +79,10 @@ def dual_cap(df: DataFrame, id_col: str, cluster: str, tag: Column, n: int, cap_
              seed=0) -> DataFrame:
     """Target ``n`` rows with no cluster and no tagged stratum above ``cap_share * n``.
 
-    Cascaded bounded ranks replace the sequential accept loop: keep the first ``cap``
-    rows of each cluster, then at most ``cap`` tagged survivors, then the first ``n`` in
-    hash order. Never exceeds either cap; it may pick slightly fewer tagged rows than
-    the loop when a tagged row used a cluster slot."""
+    Cascaded bounded ranks: keep the first ``cap`` rows of each cluster, then at most ``cap``
+    tagged survivors, then the first ``n`` in hash order. Never exceeds either cap; a tagged
+    row that is dropped still used its cluster's slot, so it may pick fewer rows than
+    ``dual_cap_exact``."""
     cap = int(n * cap_share)
     o = with_order(df, id_col, seed).withColumn("_tag", F.coalesce(tag, F.lit(False)))
     o = _top_n_per(o, [cluster], cap, ["_ord", id_col]).drop("_rn")
@@ -91,6 +91,28 @@ def dual_cap(df: DataFrame, id_col: str, cluster: str, tag: Column, n: int, cap_
     return tagged.unionByName(rest).orderBy("_ord", id_col).limit(n).drop("_ord", "_tag")
 
 
+def dual_cap_exact(df: DataFrame, id_col: str, cluster: str, tag: Column, n: int, cap_share: float,
+                   seed=0) -> DataFrame:
+    """The rows that one walk in hash order accepts: a row is passed over if ``cap`` rows of
+    its cluster are in, or if it is tagged and ``cap`` tagged rows are in; the walk ends at
+    ``n``. Ids are unique; null clusters are one cluster, a null tag is no tag.
+
+    Two rank passes give the walk without walking. Before the tagged cap is full it rejects
+    nobody, so there a row is in if its rank in its cluster is at most ``cap``; the cap-th
+    tagged row of those is the turning point. After it no tagged row gets in, so tagged rows
+    behind it are taken out before clusters are ranked again: those left take the slots.
+    Both ranks are bounded filters; nothing passes the driver."""
+    cap = int(n * cap_share)
+    o = with_order(df, id_col, seed).withColumn("_tag", F.coalesce(tag, F.lit(False)))
+    order = ["_ord", id_col]
+    first = _top_n_per(o.select("_ord", id_col, cluster, "_tag"), [cluster], cap, order).filter("_tag").orderBy(*order).limit(cap)
+    turn = first.agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct(*order)).alias("_at")) \
+        .select(F.when(F.col("_n") >= cap, F.col("_at")).alias("_at")).select("_at.*")
+    to, at = turn.select("_ord").scalar(), turn.select(id_col).scalar()
+    open_ = o.filter(~F.col("_tag") | to.isNull() | (F.col("_ord") < to) | ((F.col("_ord") == to) & (F.col(id_col) <= at)))
+    return _top_n_per(open_, [cluster], cap, order).orderBy(*order).limit(n).drop("_ord", "_tag", "_rn")
+
+
 # W5 ---------------------------------------------------------------------------
 def quota_draw(df: DataFrame, id_col: str, flag: Column, n: int, max_flagged: int | None,
                seed=0, by: Sequence[str] = ()) -> DataFrame:

@@ -6,6 +6,7 @@ from . import catalog_more  # noqa: F401
 from . import catalog_probes  # noqa: F401
 from . import catalog_sources  # noqa: F401
 from . import catalog_rollup  # noqa: F401
+from . import catalog_terms  # noqa: F401
 from .catalog import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
