@@ -48,20 +48,26 @@ def lines_of(data: np.ndarray, off: np.ndarray):
     return line_off, start, end
 
 
-def chunks_of(data: np.ndarray, off: np.ndarray):
-    """Chunks of all rows: (row, first line, line count, byte start, byte end, name). Lines
-    count from 0 in their row."""
-    line_off, start, end = lines_of(data, off)
+def spans_of(data: np.ndarray, lines):
+    """Chunks of all rows from their ``lines``: (row, first line, line count, byte start, byte
+    end). Lines count from 0 in their row."""
+    line_off, start, end = lines
     text = ~BLANK[data] & LINE_END[data]
     seen = np.concatenate([[0], np.cumsum(text, dtype=np.int64)])
     solid = np.flatnonzero(seen[end] > seen[start])
     row = np.searchsorted(line_off, solid, side="right") - 1
     pair = np.flatnonzero(row[1:] == row[:-1])
     a, z, row = solid[pair], solid[pair + 1], row[pair]
-    name = np.zeros(len(a), U)
+    return row, a - line_off[row], z - a + 1, start[a], end[z]
+
+
+def chunks_of(data: np.ndarray, off: np.ndarray):
+    """``spans_of`` all rows and the names of the chunks."""
+    row, at, n, lo, hi = spans_of(data, lines_of(data, off))
+    name = np.zeros(len(lo), U)
     for k in (0, 1):  # every second chunk: those do not overlap
-        name[k::2] = word_names(data, start[a[k::2]], end[z[k::2]])
-    return row, a - line_off[row], z - a + 1, start[a], end[z], name
+        name[k::2] = word_names(data, lo[k::2], hi[k::2])
+    return row, at, n, lo, hi, name
 
 
 def _row_key():
@@ -93,7 +99,8 @@ def _fetch(batches):
         wanted = batch.column("wanted").to_pylist()
         rk = batch.column("rk").to_pylist()
         for a, b in batches_of_rows(off, 1 << 20):
-            row, _, _, lo, hi, _ = chunks_of(data[off[a]:off[b]], off[a:b + 1] - off[a])
+            part = data[off[a]:off[b]]
+            row, _, _, lo, hi = spans_of(part, lines_of(part, off[a:b + 1] - off[a]))
             base = np.searchsorted(row, np.arange(b - a))
             out = ([], [], [], [], [])
             for i in range(a, b):
@@ -109,7 +116,7 @@ def _fetch(batches):
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(rk, gone array<int>): per row key the numbers of the chunks to remove."""
     rows = _rows(docs)
-    listed = rows.select("rk", "doc", "text").mapInArrow(_list, CHUNKS)
+    listed = store(rows.select("rk", "doc", "text").mapInArrow(_list, CHUNKS), "chunks")
     place = F.struct("doc", "rk", "at")
     shared = listed.groupBy("name").agg(F.min(place).alias("least"), F.max(place).alias("most")).filter("least <> most").select("name", "least")
     wanted = store(listed.distinct().join(shared, "name").groupBy("rk").agg(F.collect_list(
@@ -131,8 +138,9 @@ def _kept(texts, gone):
     for a, b in batches_of_rows(off, 1 << 20):
         part, span = data[off[a]:off[b]], off[a:b + 1] - off[a]
         line_off, lo, hi = lines_of(part, span)
-        row, at, n, _, _, _ = chunks_of(part, span)
-        base = np.searchsorted(row, np.arange(b - a + 1))
+        if any(gone[a:b]):
+            row, at, n, _, _ = spans_of(part, (line_off, lo, hi))
+            base = np.searchsorted(row, np.arange(b - a + 1))
         for i in range(a, b):
             s, e = int(line_off[i - a]), int(line_off[i - a + 1])
             if null[i]:
