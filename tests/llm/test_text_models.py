@@ -2,6 +2,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from brute import corpus, hard_rows, near, sha
 from llm_helpers import frame, rows_of  # noqa: F401
@@ -198,6 +199,62 @@ def test_templates_find_exact_text(spark):
     assert {r["doc_id"] for r in templates.clean(df, b).collect()} == {6, 7}
 
 
+def test_templates_flag_names_and_numbers(spark):
+    base = "A train with 240 seats leaves the old station and then Anna walks 3 km to meet Anna near the quiet harbour."
+    b = spark.createDataFrame([(1, base), (2, "Solve 3x + 7 = 22 for x"), (3, "The shop sold 1,250 jars at 3.5 euros each before Łukasz Čech closed its wide doors")],
+                              "item_id long, text string")
+    rows = [(1, base.replace("240", "77"), 1), (2, base.replace("km", "kilometres"), 1), (3, base, 1), (4, "now solve 5x + 9 = 34 for x please", 2),
+            (5, "so the shop sold 80 jars at 12 euros each before Ann closed its wide doors", 3),
+            (6, "so the shop sold 2,000,000 jars at 0.25 euros each before Ann Mary Lee closed its wide doors", 3),
+            (7, "A plain text with 240 seats, 3 km and Anna in it, that solves x for 5.", None), (8, ",5.", None), (9, "7", None), (10, "1,", None), (11, "5,", None)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(1)
+    got = {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in templates.leaks(df, b).collect()}
+    assert got == {(d, i): d != 3 for d, _, i in rows if i}
+
+
+def plain_template(text):
+    """The tokens of a text as (type, literal), written out word by word."""
+    import re
+    out, last = [], None
+    for m in re.finditer(r"[^\W_]+", text or ""):
+        w, before = m.group(), (text[:m.start()]).rstrip()
+        opens = not before or before[-1] in "!.:?" or "\n" in text[len(before):m.start()]
+        kind = "number" if any("0" <= c <= "9" for c in w) else "unit" if w.lower() in templates.UNITS else \
+            "name" if w[0].isupper() and not opens else ""
+        gap = text[last:m.start()] if last else None
+        if out and out[-1][0] == kind and ((kind == "number" and gap in (".", ",") and text[last - 1].isdigit() and w[0].isdigit()) or (kind == "name" and gap == " ")):
+            out[-1] = (kind, out[-1][1] + gap + w.lower())
+        else:
+            out.append((kind, w.lower()))
+        last = m.end()
+    return out
+
+
+def test_template_recall_of_other_values(spark):
+    """Every number of an item gets another value: at least 0.9 of the copies are found, and
+    template windows agree with a version written word by word."""
+    import re
+    b = queries.table(spark, SF, "benchmark").collect()
+    copies = []
+    for r in b:
+        other = re.sub(r"\d+", lambda m: str(int(m.group()) * 3 + 1), r["text"])
+        if other != r["text"]:
+            copies.append((len(copies), "some words stand before. " + other + " and more follow", r["item_id"]))
+    made = [(1000 + k, f"In {k + 3} days {n} pays {k + 10} dollars for {k + 2} kg of rice and then gives {n} the change at home", 10_000)
+            for k, n in enumerate(["Ann", "Bo Li", "Čeněk", "Łukasz Maj"] * 50)]
+    item = "In 9 days Eve pays 44 dollars for 5 kg of rice and then gives Eve the change at home"
+    bench = spark.createDataFrame([(r["item_id"], r["text"]) for r in b] + [(10_000, item)], "item_id long, text string")
+    rows = copies + made
+    got = {(r["doc_id"], r["item_id"]) for r in templates.leaks(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), bench).collect()}
+    assert sum((d, i) in got for d, _, i in rows) >= 0.9 * len(rows) and len(rows) >= 200
+    for _, text, _ in rows[::7]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        _, (literal, kind, _, at) = templates.canonical(data, np.array([0, len(data)]))
+        want = plain_template(text)
+        assert [{0: "", 1: "number", 2: "name", 3: "unit"}[k] for k in kind.tolist()] == [k for k, _ in want]
+        assert len(set(zip(literal.tolist(), want))) == len(set(want)) and at.tolist() == [0, len(want)]
+
+
 def test_templates_in_blocks(spark, monkeypatch):
     d, b = (queries.table(spark, SF, t) for t in ("documents", "benchmark"))
     whole = rows_of(templates.leaks(d, b))
