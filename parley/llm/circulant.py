@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import GOLD, IS_SPACE, NULL_ID, TO_LOWER, U, Rolling, batches_of_rows, mix64, split_spans, store, text_buffer, word_names
+from .common import GOLD, IS_SPACE, NULL_ID, TO_LOWER, U, Rolling, batches_of_rows, mix64, release, split_spans, store, text_buffer, word_names
 
 SHINGLE, THRESHOLD = 5, 85  # words; percent of the union that the intersection must reach
 ROWS, GROUP = 4, 256
@@ -282,7 +282,9 @@ def _joined(parts: DataFrame | None, links: DataFrame, about: int) -> DataFrame:
     """Components of ``parts`` and ``links`` together, ``about`` so many links."""
     if parts is not None:
         links = links.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    return connected_components(links, rows=about)
+    out = connected_components(links, rows=about)
+    release(links.sparkSession)
+    return out
 
 
 def _open(seats: DataFrame, parts: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ gives the same name to the same content without exchanging a dictionary.
 """
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -59,6 +60,14 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what finished jobs left behind: Spark removes shuffle files and
+    broadcasts once the driver has collected the plans that named them, and the collected
+    heap goes back to the machine. For the end of a stage or round; the next one reads tables."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def chunk_count(docs: DataFrame, chunk_bytes: int) -> int:
     """Number of chunks: one holds ``chunk_bytes`` of text at most on average, and less, to
     1 MB, where that keeps all shuffle partitions at work."""
