@@ -7,8 +7,9 @@ that angle of the great circle that parts their homes' pivots, by the triangle i
 a vector goes as a guest to those cells of a smaller number whose border is that near, and
 every pair meets once, in the smaller home. Cells are cut into blocks, and each task compares
 one block of homes with one block of homes and guests. How far rows are replicated depends on
-the data: tight groups go to about one cell, vectors without structure to many, where the
-blocks bound a task all the same.
+the data: tight groups go to about one cell, vectors without structure to many. So as many
+pivots are taken as copy the fewest rows by a drawn sample; where cells part nothing, few cells
+in large blocks remain, and the blocks bound a task all the same.
 
 Similarities are compared at nine digits. Vectors that are null, hold null or non-finite
 components or have no direction take no part.
@@ -25,8 +26,11 @@ from ..session import keep
 THRESHOLD = 0.95
 #: Pivots at most, rows per pivot below that, rows of a block, and vectors per pivot that are
 #: drawn to choose from: at most SAMPLE * PIVOTS vectors pass the driver.
-PIVOTS, CELL_ROWS, BLOCK_ROWS, SAMPLE = 1024, 512, 1024, 4
-STEP = 512
+PIVOTS, CELL_ROWS, BLOCK_ROWS, SAMPLE = 1024, 512, 1 << 14, 4
+#: Bytes of a block's vectors, and rows of it that are compared at once.
+BLOCK_BYTES, STEP = 1 << 25, 256
+#: More pivots are taken as long as they copy at most this many times the fewest rows.
+NEAR_FEWEST = 1.25
 
 
 def vector_classes(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -53,30 +57,56 @@ def _apart(vectors: list[np.ndarray], cosine: float, most: int) -> np.ndarray:
     return out
 
 
-def dealt(classes: DataFrame, threshold: float, pivots: int = PIVOTS, cell_rows: int = CELL_ROWS) -> DataFrame:
+def _visits(m: np.ndarray, p: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(home of each unit vector, whether it visits each cell), its home included."""
+    near = m @ p.T
+    home = near.argmax(1)
+    at = near[np.arange(len(m)), home]
+    visits = (at[:, None] - near <= border[home]) & (np.arange(len(p)) < home[:, None])
+    visits[np.arange(len(m)), home] = True
+    return home, visits
+
+
+def _borders(p: np.ndarray, threshold: float) -> np.ndarray:
+    apart = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))  # lengths of p_h - p_q
+    return np.sqrt(1 - threshold * threshold) * apart + 1e-9
+
+
+def _pivots(drawn: list[np.ndarray], n: int, threshold: float, most: int, block_rows: int) -> np.ndarray:
+    """The pivots by which ``n`` vectors like the drawn ones are copied least."""
+    p = _apart(drawn, 2 * threshold * threshold - 1, most)
+    sample = np.array([v / np.linalg.norm(v) for v in drawn])
+    copies = {}
+    for m in {1 << k for k in range(len(p).bit_length())} | {len(p)}:
+        rows = n * _visits(sample, p[:m], _borders(p[:m], threshold))[1].sum(1).mean()
+        copies[m] = rows + n * np.ceil(rows / m / block_rows) + rows * np.ceil(n / m / block_rows)
+    return p[:max(m for m, c in copies.items() if c <= NEAR_FEWEST * min(copies.values()))]
+
+
+def _block_rows(vector: np.ndarray, block_rows: int) -> int:
+    return max(1, min(block_rows, BLOCK_BYTES // (8 * len(vector))))
+
+
+def dealt(classes: DataFrame, threshold: float, pivots: int = PIVOTS, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(cell, home, id, size, vec): every class once at home and once in each cell it visits;
     ``vec`` holds the unit vector's bytes."""
     if not 0 <= threshold <= 1:
         raise ValueError("the threshold must lie between 0 and 1")
-    most = max(1, min(pivots, classes.count() // cell_rows))
+    n = classes.count()
+    most = max(1, min(pivots, n // cell_rows))
     drawn = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE * most).select("vec").collect()
     if not drawn:
         return classes.select(F.lit(0).alias("cell"), F.lit(True).alias("home"), "id", "size", F.lit(b"").alias("vec")).limit(0)
-    p = _apart([np.array(r["vec"], np.float64) for r in drawn], 2 * threshold * threshold - 1, most)
-    apart = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))  # lengths of p_h - p_q
-    border = np.sqrt(1 - threshold * threshold) * apart + 1e-9
-    columns = np.arange(len(p))
+    drawn = [np.array(r["vec"], np.float64) for r in drawn]
+    p = _pivots(drawn, n, threshold, most, _block_rows(drawn[0], block_rows))
+    border = _borders(p, threshold)
 
     def deal(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             m = _unit(batch.column("vec"))
-            near = m @ p.T
-            home = near.argmax(1)
-            at = near[np.arange(len(m)), home]
-            visits = (at[:, None] - near <= border[home]) & (columns < home[:, None])
-            visits[np.arange(len(m)), home] = True
+            home, visits = _visits(m, p, border)
             row, cell = np.nonzero(visits)
             raw = [x.tobytes() for x in m]
             ids, sizes = batch.column("id").to_numpy(), batch.column("size").to_numpy()
@@ -91,7 +121,9 @@ def dealt(classes: DataFrame, threshold: float, pivots: int = PIVOTS, cell_rows:
 
 def _compared(classes: DataFrame, threshold: float, each, schema: str, pivots: int, cell_rows: int, block_rows: int) -> DataFrame:
     """``each(left, right, x, y)`` over the linked rows (x, y) of every two blocks that meet."""
-    rows = keep(dealt(classes, threshold, pivots, cell_rows))
+    rows = keep(dealt(classes, threshold, pivots, cell_rows, block_rows))
+    one = rows.select("vec").first()
+    block_rows = _block_rows(np.frombuffer(one["vec"]), block_rows) if one else block_rows
     blocks = lambda c: F.greatest(F.ceil(c / F.lit(block_rows)), F.lit(1)).cast("int")
     plan = rows.groupBy("cell").agg(blocks(F.count_if("home")).alias("l"), blocks(F.count(F.lit(1))).alias("r"))
     rows = rows.join(F.broadcast(plan), "cell")  # one row per pivot
@@ -107,9 +139,11 @@ def _compared(classes: DataFrame, threshold: float, each, schema: str, pivots: i
         if a.num_rows and b.num_rows:
             va, vb = (np.frombuffer(b"".join(t.column("vec").to_pylist())).reshape(t.num_rows, -1) for t in (a, b))
             for k in range(0, len(va), STEP):
-                x, y = np.nonzero((np.round(va[k:k + STEP] @ vb.T, 9) >= threshold) & (la["id"][k:k + STEP, None] != lb["id"][None]))
-                xs.append(x + k)
-                ys.append(y)
+                cosine = va[k:k + STEP] @ vb.T
+                x, y = np.nonzero(cosine >= threshold - 1e-8)
+                linked = (np.round(cosine[x, y], 9) >= threshold) & (la["id"][x + k] != lb["id"][y])
+                xs.append(x[linked] + k)
+                ys.append(y[linked])
         return each(la, lb, np.concatenate(xs), np.concatenate(ys))
 
     return left.groupBy("cell", "i", "j").cogroup(right.groupBy("cell", "i", "j")).applyInArrow(lambda a, b: run(a, b), schema)

@@ -63,3 +63,11 @@ def test_grouped_vectors_visit_few_cells(spark):
     assert rows.count() <= 2 * 3000
     plan = J.cosine_links(frame(spark, m), "id", "vec")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_loose_vectors_are_not_dealt_to_many_cells(spark):
+    rnd = np.random.default_rng(4)
+    classes = J.vector_classes(frame(spark, rnd.normal(size=(3000, 16))), "id", "vec")
+    rows = J.dealt(classes, 0.3, pivots=300, cell_rows=10)
+    assert rows.filter("home").count() == 3000
+    assert rows.count() <= 4 * 3000
