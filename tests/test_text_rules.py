@@ -179,3 +179,30 @@ def test_normalize_keeps_inner_double_spaces(spark):
 def test_rule_table_version_stable():
     assert R.FIRST_PASS.version() == R.FIRST_PASS.version()
     assert len(R.FIRST_PASS.version()) == 16
+
+
+def test_grouped_patterns_match_the_same_texts(spark):
+    import random
+    import re
+
+    rnd = random.Random(1)
+    table = {n: getattr(P, n) for n in ("DOWNGRADE", "BILLING", "SYMPTOM", "COMPONENT", "FOREIGN", "REDIRECT", "INSTRUCT", "BLIND", "DOWNGRADE_EVIDENCE")}
+    table |= dict(P.OVERRIDES) | dict(P.OOS_KINDS) | {"odd": r"ab?|a|[|)]x|\bcat|\b(do|dot)\b|x+y|\|z|(?:ab|ac)?d"}
+    pieces = sorted({w for p in table.values() for w in re.findall(r"[\w']+", p)} | set("abcdoty.?|)ıİſ") | {"don't", "per favore", "c'est"})
+    texts = ["".join(rnd.choice(pieces).upper() if rnd.random() < 0.1 else rnd.choice(pieces) + rnd.choice([" ", "", " ", "-"]) for _ in range(rnd.randint(0, 4)))
+             for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    wrong = {n: F.count_if(F.col("t").rlike(P.ci(p)) != F.col("t").rlike(P.ci(P.grouped(p)))) for n, p in table.items()}
+    wrong["count"] = F.count_if(F.regexp_count("t", F.lit(P.ci(P.FOREIGN))) != R.foreign_hits("t"))
+    assert not any(df.select(*[c.alias(f"c{i}") for i, c in enumerate(wrong.values())]).first())
+    # first letters are shared: far fewer alternatives are tried at each place
+    assert len(P._alternatives(P.grouped(P.SYMPTOM))) * 2 < len(P._alternatives(P.SYMPTOM))
+
+
+def test_cascades_over_one_row_group_run_in_many_tasks(spark, scratch):
+    from parley.plans.catalog import texts
+    rows = [(i, "the battery drains" if i % 2 else "où est ma facture") for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{scratch}/documents.parquet")
+    df = texts(spark, scratch, "doc_id", "text")
+    assert df.rdd.getNumPartitions() >= 8
+    assert sorted(map(tuple, df.collect())) == rows
