@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import keep
+from ..session import keep, spread
 
 #: Letters of a piece by which it is looked up inside words; shorter pieces use all they have.
 GRAM = 4
@@ -63,7 +63,7 @@ def term_hits(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, te
     numbers is reported under each. Other columns of either table are not read."""
     rows = texts.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter("_id is not null and _text is not null")
     found = keep(anchors(terms, term_no, term))
-    spoken = keep(rows.select("_id", F.explode(F.array_distinct(_pieces(F.col("_text")))).alias("word")))
+    spoken = keep(spread(rows).select("_id", F.explode(F.array_distinct(_pieces(F.col("_text")))).alias("word")))
     leads = keep(_words_of_anchors(spoken.select("word").distinct(), found))
     reached = spoken.join(leads, "word").select("_id", "anchor", "whole").distinct()
     pairs = reached.join(found, ["anchor", "whole"]).select("_id", "term_no", "term")
