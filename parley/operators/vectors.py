@@ -18,7 +18,7 @@ from . import grid
 from .grid import best_k, cells
 
 Q_ROWS, P_ROWS = 4096, 8192  # rows of a query block and of a pool block
-STEP = 512                   # queries scored at once inside a cell
+STEP = 128                   # queries scored at once inside a cell: a few copies of STEP x P_ROWS scores
 
 # Functions shipped to Python workers (cell functions) are pickled by value,
 # so executors need numpy/pandas but not this package on their path.
