@@ -12,8 +12,11 @@ above one count as one, so frequent clean words cannot buy off junk. Rows are th
 Gumbel top-k over the importance in levels of ``CUT_STEP``: the k rows with the largest
 SHARPNESS * level + Gumbel noise, the noise a hash of the row. The noise spans less than
 SHARPNESS, so it orders the rows of one level and never lifts a row over one of a higher
-level. k is the number of rows whose importance reaches the cut that best separates good from
-bad labelled rows among the cuts that lose at most ``MAX_LOSS`` of the good ones.
+level. The cut is the importance that best separates good from bad labelled rows among those
+that lose at most ``MAX_LOSS`` of the good ones. k is the number of rows that reach the cut and,
+below it, of as many as good rows are expected there: by the rule of succession from the good
+labelled rows the cut loses, ``MAX_LOSS`` of the rows above it at most. So k ends inside a level,
+and the noise draws the rows of that level that stay.
 
 The models' target side and the cut are fitted on at most ``SAMPLE`` good and ``SAMPLE`` bad
 labelled documents (those with the smallest hashes of their ids); raw counts, scores, k and
@@ -145,21 +148,21 @@ def score(rows: DataFrame, weights: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, role int, importance double, key double")
 
 
-def cut_of(scores: DataFrame) -> float:
+def cut_of(scores: DataFrame) -> tuple[float, float]:
     """The importance that best separates good from bad labelled rows, losing at most
-    ``MAX_LOSS`` of the good."""
+    ``MAX_LOSS`` of the good, and the share of good rows expected below it."""
     step = F.floor(F.col("importance") / CUT_STEP)
     bins = scores.filter("role > 0").groupBy(F.greatest(step, F.lit(-4000)).alias("b"), "role").count().collect()
     good, bad = (sum(r["count"] for r in bins if r["role"] == k) for k in (1, 2))
     if not good or not bad:
-        return -math.inf
-    best, cut = 1.0, -math.inf  # as good as keeping all
+        return -math.inf, 0.0
+    best, cut, share = 1.0, -math.inf, 0.0  # as good as keeping all
     for b in sorted({r["b"] for r in bins}):
         lost = sum(r["count"] for r in bins if r["role"] == 1 and r["b"] < b) / good
         wrong = lost + sum(r["count"] for r in bins if r["role"] == 2 and r["b"] >= b) / bad
         if lost <= MAX_LOSS and wrong < best:
-            best, cut = wrong, b * CUT_STEP
-    return cut
+            best, cut, share = wrong, b * CUT_STEP, min(MAX_LOSS, (lost * good + 1) / (good + 2))
+    return cut, share
 
 
 def kth_key(scores: DataFrame, k: int) -> float:
@@ -191,9 +194,9 @@ def _fitted(docs: DataFrame, labels: DataFrame, sample: int):
     rows = _with_role(docs, labels, sample)
     weights = fit(rows)
     scores = store(score(rows, weights), "importance")
-    cut = cut_of(scores)
-    k = scores.filter(F.col("importance") >= cut).count()
-    return weights, scores, kth_key(scores, k)
+    cut, share = cut_of(scores)
+    above = scores.filter(F.col("importance") >= cut).count()
+    return weights, scores, kth_key(scores, above + int(share * above))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -90,6 +90,23 @@ def test_noise_lifts_no_row_over_a_higher_level():
     assert low.max() < high.min()
 
 
+def test_noise_draws_rows_of_the_boundary_level(spark, frame, monkeypatch):
+    """Below the cut stay as many rows as good ones are expected there; the noise says which."""
+    rows, labels = quality_rows(n=8000)
+    l = spark.createDataFrame(labels[::4], "doc_id long, quality int, toxic int")
+    bad = " ".join(["dreck"] * 9)
+    docs = frame([(i, t if i % 5 else bad) for i, t in rows])
+    clean, drawn = {i for i, _ in rows if i % 5}, []
+    key = importance._key
+    for seed in (0, 1):
+        monkeypatch.setattr(importance, "_key", lambda s, noise, seed=seed: key(s, noise + seed))
+        kept = {r["doc_id"] for r in importance.classify(docs, l).collect()}
+        assert clean <= kept and len(kept) - len(clean) == int(importance.MAX_LOSS * len(clean)) == 6
+        assert {r["doc_id"] for r in importance.select(docs, l).collect()} == kept
+        drawn.append(kept - clean)
+    assert drawn[0] != drawn[1]
+
+
 # chat
 
 def plain_chat(rows):
