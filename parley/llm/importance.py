@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, IS_SPACE, TO_LOWER, U, batches_of_rows, mix64, release, split_spans, store, text_buffer, word_names
+from .common import GOLD, IS_SPACE, TO_LOWER, U, batches_of_rows, bound_batches, mix64, release, split_spans, store, text_buffer, word_names
 
 BITS, SLICE, SAMPLE = 21, 1 << 14, 20_000
 SHRINK, EFFECT, MAX_LOSS = 5.0, 1.0, 0.001
@@ -191,6 +191,7 @@ def kth_key(scores: DataFrame, k: int) -> float:
 
 
 def _fitted(docs: DataFrame, labels: DataFrame, sample: int):
+    bound_batches(docs.sparkSession)
     rows = _with_role(docs, labels, sample)
     weights = fit(rows)
     scores = store(score(rows, weights), "importance")

@@ -3,12 +3,13 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import corpus, hard_rows, near, sha
 from llm_helpers import frame, rows_of  # noqa: F401
 from pyspark.sql import functions as F
 
-from parley.llm import bpe_prefix, chat, ecoc, importance, queries, templates
+from parley.llm import bpe_prefix, chat, common, ecoc, importance, queries, templates
 
 SF = "/root/testdata/sf0.01"
 BPE = f"{queries.TOKENIZERS}/word_bpe_49k.json"
@@ -107,6 +108,24 @@ def test_noise_draws_rows_of_the_boundary_level(spark, frame, monkeypatch):
     assert drawn[0] != drawn[1]
 
 
+def test_texts_go_to_python_in_small_batches(spark, frame):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    rows, labels = quality_rows(n=3000)
+    l = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs, before = frame(rows).coalesce(1), spark.conf.get(common.BATCH)
+    try:
+        for chosen, most in (("10000", common.BATCH_ROWS), ("700", 700)):
+            spark.conf.set(common.BATCH, chosen)
+            importance.select(docs, l)
+            got = [r["n"] for r in common.store(docs.mapInArrow(sizes, "n long"), "sizes").collect()]
+            assert sum(got) == 3000 and max(got) == most
+    finally:
+        spark.conf.set(common.BATCH, before)
+
+
 # chat
 
 def plain_chat(rows):
