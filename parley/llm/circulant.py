@@ -184,21 +184,22 @@ def _similar_size(x: str, y: str, percent: int):
     return F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
 
 
-def _first_shared(x: str, y: str, bands: int, band):
+def _first_shared(x: str, y: str, band):
     """Whether ``band`` is the first one whose names are the same."""
-    return F.coalesce(*[F.when(F.col(x)[i] == F.col(y)[i], i) for i in range(bands)]) == band
+    return F.array_position(F.zip_with(x, y, lambda a, b: a == b), F.lit(True)) == band + 1
 
 
 def _agree(x: str, y: str, coordinates: int, agree: int):
     """Whether two signatures agree in enough coordinates: bytes that differ, folded to one
-    bit each and counted."""
-    different = F.lit(0)
-    for i in range(coordinates // 8):
-        d = F.col(x)[i].bitwiseXOR(F.col(y)[i])
-        for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
-            d = d.bitwiseOR(F.shiftrightunsigned(d, shift)).bitwiseAND(F.lit(mask))
-        different = different + F.bit_count(d)
-    return different <= coordinates - agree
+    bit each and counted. Lists are folded step by step: spelled out, the steps for all numbers
+    and neighbours are an expression whose plans cost the driver seconds and much memory."""
+    def fold(shift, mask):
+        return lambda v: v.bitwiseOR(F.shiftrightunsigned(v, shift)).bitwiseAND(F.lit(mask))
+
+    d = F.zip_with(x, y, lambda a, b: a.bitwiseXOR(b))
+    for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
+        d = F.transform(d, fold(shift, mask))
+    return F.aggregate(d, F.lit(0), lambda total, v: total + F.bit_count(v)) <= coordinates - agree
 
 
 def _mates(band, cell, two, part, n, bands, sig, percent, agree):
@@ -331,7 +332,7 @@ def _groups(docs: DataFrame, percent: int) -> DataFrame:
         looked = placed.select("band", "rk", "part", "n", "sig", "bands", *[F.lag(other, i).over(near).alias(f"o{i}") for i in range(1, LOOK + 1)])
         # tested before they become rows: only pairs that need a check do
         asks = [F.when((F.col("part") != F.col(f"o{i}.a_part")) & _similar_size("n", f"o{i}.a_n", percent)
-                       & _first_shared("bands", f"o{i}.a_bands", bands, F.col("band")) & _agree("sig", f"o{i}.a_sig", bands * ROWS, agree),
+                       & _first_shared("bands", f"o{i}.a_bands", F.col("band")) & _agree("sig", f"o{i}.a_sig", bands * ROWS, agree),
                        F.struct(F.least(f"o{i}.a", "rk").alias("a"), F.greatest(f"o{i}.a", "rk").alias("b"))) for i in range(1, LOOK + 1)]
         pairs = looked.select(F.explode(F.filter(F.array(*asks), lambda x: x.isNotNull())).alias("p")).select("p.*").distinct()
         pairs = store(pairs, "pairs", n)

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from .common import GOLD, IS_SPACE, TO_LOWER, U, batches_of_rows, bound_batches, mix64, release, split_spans, store, text_buffer, word_names
 
 BITS, SLICE, SAMPLE = 21, 1 << 14, 20_000
+BUCKETS = 1 << BITS
 SHRINK, EFFECT, MAX_LOSS = 5.0, 1.0, 0.001
 SHARPNESS, CUT_STEP = 64.0, 0.25  # the noise lies between -4 and 38
 KIND = np.full(256, 1, np.uint8)  # letters, digits and bytes of longer characters
@@ -106,18 +107,25 @@ def fit(rows: DataFrame) -> np.ndarray:
                          "raw": pa.array([total("raw").tobytes()], pa.binary()), "target": pa.array([total("target").tobytes()], pa.binary())})
 
     schema = "slice int, n long, t long, raw binary, target binary"
-    sums = rows.select("text", "role").mapInArrow(count, schema).groupBy("slice").applyInArrow(lambda t: add(t), schema).collect()
-    raw, target = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for r in sums:  # one row per slice: as many as buckets / SLICE
-        a = r["slice"] * SLICE
-        raw[a:a + SLICE], target[a:a + SLICE] = np.frombuffer(r["raw"], np.int64), np.frombuffer(r["target"], np.int64)
-    n, t = sum(r["n"] for r in sums), sum(r["t"] for r in sums)
+    sums = store(rows.select("text", "role").mapInArrow(count, schema).groupBy("slice").applyInArrow(lambda t: add(t), schema), "sums", BUCKETS // SLICE)
+    n, t = (x or 0 for x in sums.agg(F.sum("n"), F.sum("t")).first())
+    weights = np.zeros(BUCKETS, np.float32)
     if not n or not t:
-        return np.zeros(1 << BITS, np.float32)
-    expected = raw * (t / n)
-    ratio = np.log((target + SHRINK) / (expected + SHRINK))
-    ratio[ratio > -EFFECT] = 0
-    return ratio.astype(np.float32)
+        return weights
+
+    def speak(batches):
+        for batch in batches:
+            for i, raw, target in zip(*(batch.column(c).to_pylist() for c in ("slice", "raw", "target"))):
+                expected = np.frombuffer(raw, np.int64) * (t / n)
+                ratio = np.log((np.frombuffer(target, np.int64) + SHRINK) / (expected + SHRINK))
+                at = np.flatnonzero(ratio <= -EFFECT)
+                yield pa.RecordBatch.from_arrays([pa.array([(at + i * SLICE).tobytes()], pa.binary()), pa.array([ratio[at].astype(np.float32).tobytes()], pa.binary())],
+                                                 names=["bucket", "weight"])
+
+    # one row per slice, with the buckets that speak only: sums of all buckets do not pass the driver
+    for r in sums.mapInArrow(speak, "bucket binary, weight binary").toLocalIterator():
+        weights[np.frombuffer(r["bucket"], np.int64)] = np.frombuffer(r["weight"], np.float32)
+    return weights
 
 
 def _importance(weights: np.ndarray, column) -> np.ndarray:
